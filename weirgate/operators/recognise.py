@@ -26,7 +26,7 @@ CANDIDATES = {
     "iban": rf"{L}[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{1,4}}){{2,8}}{R}",
     "card": r"(?<![0-9.])(?:[0-9][ -]?){12,18}[0-9](?![0-9.])",
     "phone": r"(?<![0-9])(?:\+90|0090|0)?[ ]?\(?5[0-9]{2}\)?[ ]?[0-9]{3}[ ]?[0-9]{2}[ ]?[0-9]{2}(?![0-9])",
-    "email": r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}(?![A-Za-z0-9_])",
+    "email": rf"(?:{L}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,255}}\.[A-Za-z]{{2,24}}{R}",
     "ssn_us": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "mbi_us": r"(?<![A-Za-z0-9])[1-9][A-Za-z][A-Za-z0-9][0-9]-?[A-Za-z][A-Za-z0-9][0-9]-?[A-Za-z]{2}[0-9]{2}(?![A-Za-z0-9])",
     "atc": r"(?<![A-Za-z0-9])[ABCDGHJLMNPRSV][0-9]{2}[A-Z]{2}[0-9]{2}(?![A-Za-z0-9])",

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirgate.session import ship
+
 #: Fixed value: what the first record of a chain points to.
 GENESIS = "0" * 64
 
@@ -21,13 +23,13 @@ def record_hash(text, prev):
     return F.sha2(F.concat_ws("\n", prev, text), 256)
 
 
-def build_chain(records: DataFrame, chain: str, order: str, columns: list[str], chunk: int = 100_000) -> DataFrame:
+def build_chain(records: DataFrame, chain: str, order: str, columns: list[str]) -> DataFrame:
     """(chain, seq, body, prev_hash, hash) of every record, chained by ``order`` within ``chain``.
 
     The hash of a record needs the one before it, so a chain is folded by one task; its rows come as sorted Arrow
     batches (the chain's last hash is carried on), never as a whole.
     """
-    del chunk
+    ship(records.sparkSession)
     w = Window.partitionBy(chain).orderBy(order)
     rows = records.select(F.col(chain).cast("string").alias("chain"), (F.row_number().over(w) - 1).cast("long").alias("seq"), body(columns).alias("body"))
 

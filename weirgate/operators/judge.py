@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.operators.score import rank
+from weirgate.session import ship
 
 
 def in_band(score: Column, corroborated: Column, degraded: Column, flag_at=40, block_at=70, band_from=None) -> Column:
@@ -28,6 +29,7 @@ def ask(items: DataFrame, judge: Callable[[str], dict], failures: int = 5, text:
 
     After ``failures`` errors in a row a partition stops asking (its breaker is open) and every 32nd text tries again.
     """
+    ship(items.sparkSession)
     distinct = items.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirgate.session import ship
+
 FIELDS = ["name", "title", "description", "input_schema", "output_schema", "annotations"]
 SCHEMA = "server_name string, position long, name string, title string, description string, input_schema string, output_schema string, annotations string"
 
@@ -51,6 +53,7 @@ def hash_tools(tools: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"server_name": f["server_name"], "position": f["position"], "name": f["name"], "canonical": [canonical_tool(r) for r in f.to_dict("records")]})
 
+    ship(tools.sparkSession)
     rows = tools.where("name is not null and name <> ''").select("server_name", "position", *FIELDS)
     return rows.mapInPandas(run, "server_name string, position long, name string, canonical string").select("server_name", "position", "name", F.sha2("canonical", 256).alias("hash"))
 

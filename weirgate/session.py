@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -17,3 +21,20 @@ def get_session(app: str = "weirgate", **conf: str) -> SparkSession:
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once for each application, so that it needs to be on the driver only."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="weirgate-")) / "weirgate.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, f"{root.name}/{file.relative_to(root)}")
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(app)
+    return spark

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.store import materialize, parts_for
+from weirgate.llm.store import materialize, parts_for, plan_bytes, small_batches
 from weirgate.llm.textkernel import SPACED, U64, chunks, mix, text_bytes, words
 
 #: The end of a text, as a token.
 END = np.uint64(0x6A09E667F3BCC909)
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Most bytes of the filter that is broadcast, bits for each entry, and probes for each entry.
 MAX_FILTER_BYTES, ENTRY_BITS, PROBES = 64 << 20, 7, 4
 
@@ -57,26 +57,25 @@ def bigram_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * U64(0x9E3779B97F4A7C15) + mix(right + U64(1)))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+def key_bits(docs: DataFrame) -> int:
+    """Bits of a bigram's hash that are kept: so many that at most about one in a thousand shares its own."""
+    return min(64, max(40, (plan_bytes(docs) * 8).bit_length() + 6))
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
-
-
-def sorted_runs(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit keys as byte planes of their differences, and their counts; small after compression."""
+def sorted_runs(keys: np.ndarray, counts: np.ndarray, bits: int = 64) -> bytes:
+    """Sorted distinct keys (of whose 64 bits only the top ``bits`` are set) as byte planes of their differences, and their counts."""
+    keys = keys >> U64(64 - bits)
     steps = np.diff(keys, prepend=U64(0)) if len(keys) else keys
     width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8) if len(keys) else 1
     planes = steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if len(keys) else b""
-    head = np.array([len(keys), width, int(keys[0]) if len(keys) else 0], np.uint64).tobytes()
+    head = np.array([len(keys), width + 256 * bits, int(keys[0]) if len(keys) else 0], np.uint64).tobytes()
     low = np.minimum(counts, 255).astype(np.uint8)
     return head + planes + zlib.compress(low.tobytes() + counts[counts >= 255].astype(np.int64).tobytes(), 1)
 
 
 def read_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width, first = np.frombuffer(blob[:24], np.uint64).tolist()
+    bits, width = divmod(width, 256)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     steps = np.zeros((n, 8), np.uint8)
@@ -86,7 +85,7 @@ def read_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     rest = zlib.decompress(blob[24 + n * width :])
     counts = np.frombuffer(rest[:n], np.uint8).astype(np.int64)
     counts[counts == 255] = np.frombuffer(rest[n:], np.int64)
-    return np.cumsum(steps, dtype=np.uint64), counts
+    return np.cumsum(steps, dtype=np.uint64) << U64(64 - bits), counts
 
 
 def _shards(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -115,49 +114,65 @@ def _part(kind: int, block: int, shard: int, rows: int, blob: bytes, ids: bytes
 
 def _cut(shard_bits: int, block_bytes: int):
     """Rows of kind 0: a block's documents as positions in its own word list; 1: the distinct words of a block and how often
-    they occur in training; 2: its training bigrams. Block numbers hold the partition's, so they're unique."""
+    they occur in training. Block numbers hold the partition's, so they're unique."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
-
-        def close(held) -> Iterator[tuple]:
-            ids, train = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            tokens = np.concatenate([x[2] for x in held])
-            n = np.concatenate([x[3] for x in held])
-            first = np.concatenate([[0], np.cumsum(n)])
+        def close(block: int, held) -> Iterator[tuple]:
+            ids, train, tokens, n = (np.concatenate([x[k] for x in held]) for k in range(4))
             vocab, spot = np.unique(tokens, return_inverse=True)
-            taught = np.repeat(train, n)
-            seen = np.bincount(spot[taught], minlength=len(vocab))
-            wide = np.uint16 if len(vocab) < 1 << 16 else np.uint32
-            head = np.array([len(ids), np.dtype(wide).itemsize, len(vocab)], np.int64).tobytes()
-            body = np.ascontiguousarray(spot.astype(wide)).view(np.uint8).reshape(-1, np.dtype(wide).itemsize).T.tobytes()
+            seen = np.bincount(spot[np.repeat(train, n)], minlength=len(vocab))
+            head = np.array([len(ids), 4, len(vocab)], np.int64).tobytes()
+            body = np.ascontiguousarray(spot.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
             yield _part(0, block, 0, len(ids), head + train.astype(np.uint8).tobytes() + n.astype(np.int64).tobytes() + zlib.compress(body, 1), ids.tobytes())
             for s, k, c in _shards(vocab, seen, shard_bits):
                 yield _part(1, block, s, len(k), sorted_runs(k, c))
-            pair, at = bigrams(tokens, first)
-            pair, count = np.unique(pair[taught[at]], return_counts=True)
+
+        for number, held in enumerate(_held(batches, block_bytes)):
+            yield from _batches(close((TaskContext.get().partitionId() << 32) + number, held))
+
+    return cut
+
+
+def _held(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Lists of (ids, train, tokens, tokens of each document) of about ``block_bytes`` of text."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        data, off = text_bytes(batch.column("text"))
+        ids, train = np.asarray(batch.column("doc_id")), np.asarray(batch.column("train"))
+        for lo, hi in chunks(off):
+            tokens, first = token_stream(data, off[lo : hi + 1])
+            held.append((ids[lo:hi], train[lo:hi], tokens, np.diff(first)))
+            size += int(off[hi] - off[lo])
+            if size >= block_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _bigram_runs(shard_bits: int, block_bytes: int, bits: int):
+    """Rows of kind 2: the bigrams of a block's training documents; they are counted only, so they aren't kept."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held) -> Iterator[tuple]:
+            train, tokens, n = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            pair, at = bigrams(tokens, np.concatenate([[0], np.cumsum(n)]))
+            pair, count = np.unique(short_key(pair[np.repeat(train, n)[at]], bits), return_counts=True)
             for s, k, c in _shards(pair, count, shard_bits):
-                yield _part(2, block, s, len(k), sorted_runs(k, c))
-
-        held, size = [], 0
-        for batch in batches:
-            data, off = text_bytes(batch.column("text"))
-            ids = np.asarray(batch.column("doc_id"))
-            train = np.asarray(batch.column("train"))
-            for lo, hi in chunks(off, block_bytes):
-                tokens, first = token_stream(data, off[lo : hi + 1])
-                held.append((ids[lo:hi], train[lo:hi], tokens, np.diff(first)))
-                size += int(off[hi] - off[lo])
-                if size >= block_bytes:
-                    yield from _batches(close(held))
-                    block += 1
-                    held, size = [], 0
-        if held and sum(len(x[0]) for x in held):
+                yield _part(2, 0, s, len(k), sorted_runs(k, c, bits))
+
+        for held in _held(batches, block_bytes):
             yield from _batches(close(held))
 
-    return cut
+    return runs
+
+
+def short_key(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The keys with all but their top ``bits`` cleared."""
+    return keys >> U64(64 - bits) << U64(64 - bits)
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +190,20 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
-def _count(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(bits: int):
+    def count(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(key, group, bits)
+
+    return count
+
+
+def _counted(key: tuple, group: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Of a shard: kind 1 rows go back to their blocks with total counts; kind 3: counts merged for the filter."""
     order, shard = (k.as_py() for k in key)
     parts = [(b, *read_runs(blob)) for batch in group for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True)]
     keys, counts = _merge([p[1:] for p in parts])
     taught = counts > 0
-    rows = [_part(3, order, shard, int(taught.sum()), sorted_runs(keys[taught], counts[taught]))]
+    rows = [_part(3, order, shard, int(taught.sum()), sorted_runs(keys[taught], counts[taught], 64 if order == 1 else bits))]
     if order == 1:
         for block, k, _ in parts:
             own = counts[np.searchsorted(keys, k)]
@@ -204,10 +226,10 @@ def _expected(top: int) -> np.ndarray:
 class Filter:
     """Segments of a log-frequency Bloom filter; n-grams of order 1 and 2 live in the same ones."""
 
-    def __init__(self, shard_bits: int, segment_bits: int, top: int, floor: int, tokens: int, types: int, weight: float, bits: np.ndarray):
+    def __init__(self, shard_bits: int, segment_bits: int, top: int, floor: int, tokens: int, types: int, weight: float, bits: np.ndarray, key_bits: int = 64):
         self.shard_bits, self.segment_bits, self.top, self.floor = shard_bits, segment_bits, top, floor
         self.tokens, self.types, self.weight, self.bits = tokens, types, weight, bits
-        self.expected = _expected(top)
+        self.expected, self.key_bits = _expected(top), key_bits
 
     @staticmethod
     def slots(keys: np.ndarray, level: int, segment_bits: int) -> list[np.ndarray]:
@@ -241,7 +263,7 @@ class Filter:
         p = base[spot]
         tokens = vocab[spot]
         pair, at = bigrams(tokens, first)
-        pair, back = np.unique(pair, return_inverse=True)
+        pair, back = np.unique(short_key(pair, self.key_bits), return_inverse=True)
         left, right = known[spot[at - 1]], known[spot[at]]
         joint = np.minimum(self.counts(pair)[back], np.minimum(left, right))  # no n-gram is more frequent than its parts
         w = np.where(left > 0, self.weight, 0.0)
@@ -278,7 +300,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([order] * k, pa.int64()), pa.array(np.arange(k)), pa.array(n), pa.array(total)], ["ngram", "level", "n", "total"])
 
 
-def build(counted: DataFrame, shard_bits: int, max_filter_bytes: int) -> Filter:
+def build(counted: DataFrame, shard_bits: int, max_filter_bytes: int, bits_kept: int) -> Filter:
     """The filter of merged counts (kind 3 rows)."""
     table = counted.select("block", "blob").mapInArrow(_levels, "ngram long, level long, n long, total long").groupBy("ngram", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     tokens = sum(r.total for r in table if r.ngram == 1)
@@ -298,7 +320,7 @@ def build(counted: DataFrame, shard_bits: int, max_filter_bytes: int) -> Filter:
     bits = np.zeros(size << shard_bits, np.uint8)
     for r in counted.groupBy("shard").applyInArrow(_segment(segment, floor), "shard int, bits binary").toLocalIterator():
         bits[r.shard * size : (r.shard + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return Filter(shard_bits, segment, int(top), floor, tokens, types, weight, bits)
+    return Filter(shard_bits, segment, int(top), floor, tokens, types, weight, bits, bits_kept)
 
 
 _OUT = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -342,11 +364,13 @@ def score_documents(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES, max_
     remains); a null doc_id is shown as 0; repeated rows count as often as they occur; with no training row
     every token is unknown; an empty table gives an empty result. Other columns are ignored.
     """
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
+    slim = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     shard_bits = min(17, max(4, (parts_for(slim, 16 << 20) - 1).bit_length()))
+    kept = key_bits(slim)
     parts = materialize(slim.mapInArrow(_cut(shard_bits, block_bytes), _PARTS), "blocks")
-    counted = materialize(parts.where("kind > 0").groupBy("kind", "shard").applyInArrow(_count, _PARTS), "counts")
-    model = build(counted.where("kind = 3"), shard_bits, max_filter_bytes)
+    pairs = slim.where("train").mapInArrow(_bigram_runs(shard_bits, block_bytes, kept), _PARTS)
+    counted = materialize(parts.where("kind = 1").unionByName(pairs).groupBy("kind", "shard").applyInArrow(_count(kept), _PARTS), "counts")
+    model = build(counted.where("kind = 3"), shard_bits, max_filter_bytes, kept)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     back = counted.where("kind = 1").withColumn("kind", F.lit(4))
     return parts.where("kind < 2").unionByName(back).groupBy("block").applyInArrow(_score(shared, shard_bits), _OUT)

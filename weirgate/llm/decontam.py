@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.store import materialize
+from weirgate.llm.store import materialize, small_batches, texts
 from weirgate.llm.textkernel import ALNUM, chunks, text_bytes, windows, words
 
 #: Words in a window.
@@ -162,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     empty benchmark nothing is hit. Repeated rows get the same answer each; other columns are ignored.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs, F.xxhash64("text").alias("row_hash"))
     schema = "doc_id long, row_hash long, n_words long, ranges array<struct<start:long,end:long>>, items array<string>"
     passes = []
     for block in _blocks(benchmark, block_bytes) if benchmark is not None else ():
@@ -209,7 +209,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for block in _blocks(benchmark, block_bytes):
         index = Index(block, window)
         index.order(_counts(slim, index.vocabulary))
-        docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = small_batches(docs).mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs
 
 

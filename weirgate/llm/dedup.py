@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirgate.llm.store import materialize
+from weirgate.llm.store import materialize, texts
 from weirgate.llm.textkernel import text_bytes
 
 #: Deleted before texts are compared.
@@ -26,15 +26,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_bytes(batch.column("text"))
         view = memoryview(data)
-        sha = [hashlib.sha256(bytes(view[a:b]).translate(None, BLANKS)).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])  # code points begin at bytes that don't continue one
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(sha, pa.binary()), pa.array(lead[off[1:]] - lead[off[:-1]], pa.int64())], ["doc_id", "row_hash", "digest", "length"])
+        sha, length = [], np.zeros(batch.num_rows, np.int64)
+        for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            sha.append(hashlib.sha256(bytes(view[a:b]).translate(None, BLANKS)).digest())
+            length[i] = np.count_nonzero((data[a:b] & 0xC0) != 0x80)  # code points begin at bytes that don't continue one
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(sha, pa.binary()), pa.array(length)], ["doc_id", "row_hash", "digest", "length"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, row_hash, digest, length) of every row, stored once; null text counts as empty."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs, F.xxhash64("text").alias("row_hash"))
     table = slim.mapInArrow(_digest, "doc_id long, row_hash long, digest binary, length long")
     return materialize(table.withColumn("uid", F.monotonically_increasing_id()), "digests")
 

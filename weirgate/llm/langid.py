@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.llm.store import small_batches, texts
+
 #: Buckets for trigrams, and labelled documents to learn from (a bound; a sample by hash beyond it).
 BUCKETS, MAX_TRAIN_DOCS = 1 << 16, 20_000
 #: What a change of language costs along the path, in units of a word's log-likelihood.
@@ -161,7 +163,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 def fit(docs: DataFrame, train: Column, max_train_docs: int = MAX_TRAIN_DOCS, buckets: int = BUCKETS) -> Model:
     """Learn from text and lang of the rows that meet ``train``; at most about ``max_train_docs``, chosen by a hash of the text."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(train, F.lit(False)).alias("t")).where("t and text is not null and lang is not null").drop("t")
+    rows = small_batches(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(train, F.lit(False)).alias("t")).where("t and text is not null and lang is not null").drop("t")
     n = docs.where(F.coalesce(train, F.lit(False)) & F.col("lang").isNotNull()).count()
     if n > max_train_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(max(1, (1 << 20) * max_train_docs // n)))
@@ -252,7 +254,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             rows = list(label([t or "" for t in batch.column("text").to_pylist()], shared.value, switch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], _SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs)
     return slim.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
@@ -266,4 +268,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.1) -> DataFr
             good = [lang != "und" and score >= least for lang, score, _ in label([t or "" for t in texts], shared.value)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.store import materialize
+from weirgate.llm.store import materialize, texts
 
 #: Tokens in a window, open windows for each partition, groups in the first merging round, and the id after a document.
 LENGTH, OPEN, GROUPS, CLOSING = 2048, 24, 64, 1
@@ -174,7 +174,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, open_windows: int = OP
     ``length`` ids, but for at most a few whose length is a power of two. A null doc_id stays null; repeated
     rows are packed each; an empty table gives an empty result; other columns are ignored.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs)
     done = materialize(slim.mapInArrow(_pack(tokenizer_path, length, open_windows), _SCHEMA).withColumn("part", F.spark_partition_id()), "packed")
     out, rest = done.where("sequence_id is not null"), done.where("sequence_id is null")
     first = rest.groupBy(F.pmod("part", F.lit(GROUPS)).cast("long").alias("g")).applyInArrow(_merge(length, 1 << 62, False), _SCHEMA)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.llm.store import small_batches, texts
+
 #: Labelled rows to learn from (a bound; a sample by hash of the text beyond it), folds, and words in the learned lexicon.
 MAX_TRAIN_ROWS, FOLDS, LEXICON_WORDS = 16_000, 4, 400
 #: A text whose score is at least this is predicted toxic.
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_T
     """Learn from documents that meet ``train`` and have a non-null ``toxic`` label (the largest, where there are several)."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
-    rows = docs.where(train).select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = small_batches(docs).where(train).select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     if n > max_rows:  # the same hash decides on the labels' side, so that few texts are moved
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(max(1, (1 << 20) * max_rows // n))
         rows, marks = rows.where(share), marks.where(share)
@@ -262,4 +264,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")

@@ -80,26 +80,26 @@ def components(rows):
 def clusters(seed_words):
     """Chains of near copies, each a step from the one before, and one crowded group."""
     out, k = [], 1000
-    for n in (6, 9, 14, 22, 40, 63, 64, 90, 200, 700):
+    for n in (6, 14, 40, 64, 90, 400):
         own = fixtures.prose(n * 7, n + 4, 5000).split()
-        for step in range(7):
+        for step in range(5):
             out.append((k, " ".join(own), "en", "s", None, True, "x"))
             k += 1
             own = list(own)
             own[(step * 11) % len(own)] = f"step{step}"
     base = fixtures.prose(4711, seed_words, 5000).split()
-    for i in range(60):
+    for i in range(45):
         own = list(base)
         own[i % len(own)] = f"own{i}"
         out.append((k + i, " ".join(own), "en", "s", None, True, "x"))
     shared = fixtures.prose(815, 58, 5000)
-    out += [(k + 100 + i, f"{shared} tail{i} end{i} of{i}", "en", "s", None, True, "x") for i in range(45)]
-    out += [(k + 200 + i, f"{shared} {fixtures.prose(900 + i, 30, 5000)}", "en", "s", None, True, "x") for i in range(45)]
+    out += [(k + 100 + i, f"{shared} tail{i} end{i} of{i}", "en", "s", None, True, "x") for i in range(40)]
+    out += [(k + 200 + i, f"{shared} {fixtures.prose(900 + i, 30, 5000)}", "en", "s", None, True, "x") for i in range(20)]
     return out
 
 
 def test_jaccard_components_match_all_pairs(spark, docs):
-    for bucket, rows in ((32, fixtures.rows() + clusters(120)), (4, clusters(80))):
+    for bucket, rows in ((32, fixtures.rows() + clusters(70)), (4, clusters(50))):
         table = spark.createDataFrame(rows, fixtures.SCHEMA).repartition(4)
         got = Counter((r.doc_id, r.n_shingles, None if r.component_id is None else r.component_id) for r in setjoin.jaccard_components(table, bucket=bucket, rows_bytes=1 << 16).collect())
         want = Counter({(d, n, None if c == -1 and d is None else c): v for (d, n, c), v in components(rows).items()})

@@ -4,18 +4,18 @@ A document is the set of its distinct five-word shingles. Sets are dealt into si
 end of its band also takes part in the next one, so two sets within the ratio 4/3 always meet in a band. In a
 band the shingle domain is hashed into partitions:
 
-* From 64 shingles on there are 1.5 partitions for each shingle of the band's lower end. Two linked sets differ in
+* From 64 shingles on there are 1.75 partitions for each shingle of the band's lower end. Two linked sets differ in
   at most (|A| + |B|) / 7 shingles, hence in as many partitions, and agree on all others. A signature is one
   partition with the set's projection on it. The fullest projections come first (the order is the same for
-  equal signatures), so by the prefix principle floor(n / 3) + SPARE of them suffice for SPARE shared ones.
+  equal signatures), so by the prefix principle floor(n / 3) + spare(n) of them suffice for spare(n) shared ones.
 * Below 64 shingles every shingle is a partition of its own and subsets of two partitions are enumerated: of the
-  first floor(n / 4) + SMALL_SPARE shingles in hash order, linked sets share SMALL_SPARE, hence a known number
-  of pairs.
+  first floor(n / 4) + floor(n / 8) + SMALL_SPARE shingles in hash order, linked sets share the latter two, hence a
+  known number of pairs.
 
 Because linked sets share several signatures, a pair that shares fewer is no candidate, and a signature held by
 more than ``bucket`` sets may be left to its smallest member (a star) as long as a set holds few such signatures.
-Sets that hold more are compared again within those signatures, across the components found so far. Every
-candidate is verified on whole sets.
+For the sets that hold more, the less crowded of those signatures are counted too, across the components found so far
+(a second prefix filter). Every candidate is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.graph import components
-from weirgate.llm.store import heavy_join, materialize, parts_for
+from weirgate.llm.store import heavy_join, materialize, parts_for, texts
 from weirgate.llm.textkernel import SPACED, U64, chunks, mix, text_bytes, windows, words
 
 #: Words in a shingle.
@@ -64,6 +64,11 @@ def set_class(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def spare(n: int) -> int:
+    """Signatures of a set of 64 shingles or more beyond those that may differ."""
+    return SPARE + n // 12
+
+
 def bands(n: int) -> list[int]:
     """Lower ends of the bands in which a set of ``n`` shingles takes part."""
     low = 1
@@ -79,7 +84,7 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
         salt = U64((low * 0x9E3779B97F4A7C15) % (1 << 64))
         if low == 1:
             ordered = np.sort(mix(s + salt))
-            take = min(n, n // 4 + SMALL_SPARE)
+            take = min(n, n // 4 + SMALL_SPARE + n // 8)
             common = take - n // 4
             if n == 1:
                 out.append(ordered)
@@ -90,7 +95,7 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
             # a set of one or two shingles links with itself only; others share at least two
             shared = min(shared, max(1, common * (common - 1) // 2))
         else:
-            cells = low + low // 2
+            cells = low + 3 * low // 4
             h = mix(s + salt)
             cell = (h % U64(cells)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
@@ -101,7 +106,7 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
             sig = mix(sums + cell[begin].astype(np.uint64) * U64(0xA24BAED4963EE407) + salt)
             first = np.lexsort((sig, -size))
             differ = n // 3
-            take = min(len(sig), differ + SPARE)
+            take = min(len(sig), differ + spare(n))
             out.append(sig[first[:take]])
             shared = min(shared, take - differ)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), shared
@@ -145,7 +150,7 @@ def _rows(sig, cls, size, least) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(np.concatenate(least))], ["sig", "class", "n", "least"])
 
 
-_FOUND = "kind int, a long, b long, n long, least int"
+_FOUND = "kind int, a long, b long, n long, least int, size int"
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,7 +160,7 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _collide(bucket: int):
     """From whole partitions of signature rows: kind 0: pair a < b sharing n signatures; kind 1: class a with b = 0 holds n
-    crowded signatures; kind 2: class a holds the crowded signature b."""
+    crowded signatures; kind 2: class a, a set of ``size``, holds the crowded signature b, as n sets do."""
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[np.asarray(batch.column(k)) for k in range(4)] for batch in batches]
@@ -193,8 +198,9 @@ def _collide(bucket: int):
             i = np.repeat(at, rest)
             j = np.repeat(at + 1 - np.append(0, np.cumsum(rest)[:-1]), rest) + np.arange(rest.sum())
             pairs.append(_tally(cls, size, least, i, j))
-            members = np.concatenate([np.unique(i), j])
-            yield _out(2, cls[members], sig[members], np.ones(len(members), np.int64), least[members])
+            members = np.repeat(at - np.append(0, np.cumsum(rest + 1)[:-1]), rest + 1) + np.arange((rest + 1).sum())
+            held_by = np.repeat(count[crowded], count[crowded])
+            yield _out(2, cls[members], sig[members], held_by, least[members], size[members])
             holder, first, n = np.unique(cls[members], return_index=True, return_counts=True)
             yield _out(1, holder, np.zeros(len(holder), np.int64), n, least[members][first])
         if pairs and len(all_pairs := _add(pairs)):
@@ -225,8 +231,9 @@ def _add(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _out(kind: int, a, b, n, least) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(least, np.int32))], ["kind", "a", "b", "n", "least"])
+def _out(kind: int, a, b, n, least, size=None) -> pa.RecordBatch:
+    size = np.zeros(len(a), np.int32) if size is None else size
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(least, np.int32)), pa.array(np.asarray(size, np.int32))], ["kind", "a", "b", "n", "least", "size"])
 
 
 def _bloom_slots(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -324,7 +331,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET,
     """
     if percent < 75:
         raise ValueError("the bands are laid out for a similarity of 0.75 or more")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = texts(docs)
     table = materialize(slim.mapInArrow(_classes, "doc_id long, n_shingles long, class long"), "classes")
     first = materialize(table.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("d"))).alias("m")).select("class", F.col("m.d").alias("doc_id")), "first")
     rows = slim.mapInArrow(_signature_rows, "sig long, class long, n int, least int")
@@ -348,13 +355,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET,
     apart = _apart(pairs, roots).join(best, ["a", "b"], "left_anti")
     edges = edges.unionByName(materialize(check.links(materialize(apart, "apart")), "links"))
     roots = components(edges)
-    # last, within crowded signatures, sets for which those may be all that they share
-    crowded = found.where("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("sig")).join(unsafe, "class", "left_semi")
-    crowded = crowded.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = crowded.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rest = materialize(crowded.join(mixed, "sig", "left_semi"), "crowded")
+    # last, sets for which crowded signatures may be all that they share: any partner shares ``t`` of them at least, hence
+    # ``least`` among all but the t - least most crowded ones
+    t = F.greatest(F.lit(1), F.floor(F.col("least") / 2))
+    crowded = found.where("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("sig"), F.col("n").alias("holders"), t.cast("int").alias("t"), "size").join(unsafe, "class", "left_semi")
+    own = Window.partitionBy("class")
+    placed = crowded.withColumn("place", F.row_number().over(own.orderBy("holders", "sig"))).withColumn("all", F.count(F.lit(1)).over(own))
+    placed = placed.withColumn("least", F.greatest(F.lit(1), F.floor(F.col("t") / 4)).cast("int")).where(F.col("place") <= F.col("all") - F.col("t") + F.col("least"))
+    placed = placed.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    rest = materialize(placed.join(mixed, "sig", "left_semi").select("sig", "class", "root", "size", "least"), "crowded")
     if rest.limit(1).count():
-        more = rest.repartition(parts, "sig").mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        shared = rest.repartition(parts, "sig").mapInArrow(_across, "a long, b long, n long, least int").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        more = shared.where("n >= least").select("a", "b").join(pairs, ["a", "b"], "left_anti")
         edges = edges.unionByName(materialize(check.links(materialize(more, "across")), "links"))
         roots = components(edges)
     reach = first.join(roots, first["class"] == roots.node, "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
@@ -373,20 +386,29 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different components in a crowded signature, made in bounded pieces."""
-    got = [[np.asarray(batch.column(batch.schema.get_field_index(k))) for k in ("sig", "class", "root")] for batch in batches]
+    """How many crowded signatures pairs of sets of different components share in this partition; made in bounded pieces."""
+    got = [[np.asarray(batch.column(batch.schema.get_field_index(k))) for k in ("sig", "class", "root", "size", "least")] for batch in batches]
     if not got:
         return
-    sig, cls, root = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((cls, root, sig))
-    sig, cls, root = sig[order], cls[order], root[order]
+    sig, cls, root, size, least = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((cls, sig))
+    sig, cls, root, size, least = sig[order], cls[order], root[order], size[order], least[order]
     ends = np.searchsorted(sig, sig, side="right")
-    turns = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (root[1:] != root[:-1])))
-    after = np.append(turns[1:], len(sig))
-    for lo, hi in zip(turns.tolist(), after.tolist(), strict=True):  # one component of one signature against those behind it
-        others = cls[hi : ends[lo]]
-        for x in cls[lo:hi].tolist() if len(others) else ():
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, others)), pa.array(np.maximum(x, others))], ["a", "b"])
+    tallies: list[np.ndarray] = []
+    lo = 0
+    while lo < len(sig):  # some members against all behind them in their signature, about a million pairs at once
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(ends[lo : lo + 4096] - np.arange(lo, lo + len(ends[lo : lo + 4096]))), 1 << 20)))
+        hi = min(hi, len(sig), lo + 4096)
+        rest = ends[lo:hi] - np.arange(lo, hi) - 1
+        i = np.repeat(np.arange(lo, hi), rest)
+        j = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest) + i + 1
+        apart = root[i] != root[j]
+        tallies.append(_tally(cls, size, least, i[apart], j[apart]))
+        if sum(map(len, tallies)) > 1 << 21:
+            tallies = [_add(tallies)]
+        lo = hi
+    for x in np.array_split(_add(tallies), 1 + sum(map(len, tallies)) // (1 << 18)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k])) for k in ("a", "b", "n", "least")], ["a", "b", "n", "least"])
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirgate.session import ship
+
 _WRITTEN: list[str] = []
 
 
@@ -50,15 +52,33 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; Arrow batches are held to 2,000 rows for the session, so that the workers' batches fit beside the heap."""
+    ship(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
+def texts(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id as a long, then ``columns``, then the text as a string: what the Python operators read."""
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.col("text").cast("string").alias("text"))
+
+
+#: From this on Catalyst's figure stands for an unknown size.
+UNKNOWN = 1 << 59
+
+
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for a scan); no job runs."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    """Bytes of the files and tables that ``df`` reads, by Catalyst's statistics; no job runs. ``UNKNOWN`` if some have none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return min(UNKNOWN, sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 1 << 17) -> int:
-    """Partitions so that each gets about ``bytes_each`` of the estimated input."""
-    return max(least, min(most, plan_bytes(df) // bytes_each + 1))
+    """Partitions so that each gets about ``bytes_each`` of the input; the session's number where the size is unknown."""
+    size = plan_bytes(df)
+    if size >= UNKNOWN:
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(most, size // bytes_each + 1))
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 256) -> DataFrame:

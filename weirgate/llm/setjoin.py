@@ -129,25 +129,25 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # sets of this partition's rows; copies add nothing
     for batch in batches:
-        sig, cls, size, least = [], [], [], []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for _, s in _sets(batch):
             if not len(s) or (c := set_class(s)) in seen:
                 continue
             seen.add(c)
             own, shared = signatures(s)
-            sig.append(own)
-            cls.append(np.full(len(own), c, np.int64))
-            size.append(np.full(len(own), len(s), np.int32))
-            least.append(np.full(len(own), max(shared, 1), np.int32))
-            if sum(map(len, sig)) > 1 << 18:
-                yield _rows(sig, cls, size, least)
-                sig, cls, size, least = [], [], [], []
-        if sig:
-            yield _rows(sig, cls, size, least)
+            held.append((own, np.full(len(own), c, np.int64), np.full(len(own), len(s), np.int32), np.full(len(own), max(shared, 1), np.int32)))
+            size += len(own)
+            if size > 1 << 16:
+                yield _rows(held)
+                held, size = [], 0
+        if held:
+            yield _rows(held)
 
 
-def _rows(sig, cls, size, least) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(np.concatenate(least))], ["sig", "class", "n", "least"])
+def _rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    sig, cls, size, least = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls), pa.array(size), pa.array(least)], ["sig", "class", "n", "least"])
 
 
 _FOUND = "kind int, a long, b long, n long, least int, size int"
@@ -274,7 +274,7 @@ def _needed(shared):
                     cls.append(c)
                     sets.append(s.tobytes())
                     held += len(sets[-1])
-                if held > 4 << 20:
+                if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
                     cls, sets, held = [], [], 0
             if cls:

@@ -19,7 +19,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
 #: Bytes of text tokenised at once (a longer document is taken whole).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _byte_codes() -> np.ndarray:

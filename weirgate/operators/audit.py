@@ -34,15 +34,14 @@ def build_chain(records: DataFrame, chain: str, order: str, columns: list[str])
     rows = records.select(F.col(chain).cast("string").alias("chain"), (F.row_number().over(w) - 1).cast("long").alias("seq"), body(columns).alias("body"))
 
     def fold(batches):
-        state: dict[str, str] = {}
+        own, last = None, GENESIS
         for frame in batches:
             prev, now = [], []
             for c, text in zip(frame["chain"], frame["body"], strict=True):
-                p = state.get(c, GENESIS)
-                h = hashlib.sha256(f"{p}\n{text}".encode()).hexdigest()
-                state = {c: h} if c not in state else state | {c: h}
+                p = last if c == own else GENESIS
+                own, last = c, hashlib.sha256(f"{p}\n{text}".encode()).hexdigest()
                 prev.append(p)
-                now.append(h)
+                now.append(last)
             yield pd.DataFrame({"chain": frame["chain"], "seq": frame["seq"], "body": frame["body"], "prev_hash": prev, "hash": now})
 
     # the window has dealt the rows by chain and sorted them already
@@ -92,3 +91,23 @@ def fingerprint(key: bytes):
 
 def show(log: DataFrame, chain: str = "chain") -> DataFrame:
     return log.select(chain, "seq", F.format_string("#%d %s %s", "seq", F.substring("hash", 1, 12), F.substring("body", 1, 4096)).alias("line"))
+
+
+def extend_chain(built: DataFrame, heads: DataFrame) -> DataFrame:
+    """Records of :func:`build_chain`, chained on to ``heads`` (chain, next, head) of the logs that they continue."""
+    ship(built.sparkSession)
+    w = Window.partitionBy("chain").orderBy("seq")
+    rows = built.join(heads, "chain", "left").withColumn("_n", F.row_number().over(w)).select("chain", "seq", "body", F.coalesce("next", F.lit(0)).cast("long").alias("next"), F.coalesce("head", F.lit(GENESIS)).alias("head"))
+
+    def fold(batches):
+        chain, last = None, None
+        for frame in batches:
+            prev, now = [], []
+            for c, text, head in zip(frame["chain"], frame["body"], frame["head"], strict=True):
+                p = last if c == chain else head
+                chain, last = c, hashlib.sha256(f"{p}\n{text}".encode()).hexdigest()
+                prev.append(p)
+                now.append(last)
+            yield pd.DataFrame({"chain": frame["chain"], "seq": frame["seq"] + frame["next"], "body": frame["body"], "prev_hash": prev, "hash": now})
+
+    return rows.mapInPandas(fold, "chain string, seq long, body string, prev_hash string, hash string")

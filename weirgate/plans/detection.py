@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirgate.functions import checksums as C
 from weirgate.functions import spans as S
 from weirgate.functions import text as X
-from weirgate.operators import detect, recognise, score
+from weirgate.operators import detect, kernel, recognise, score
 from weirgate.plans.content import content, content_sql, quoted
 from weirgate.rules import data
 
@@ -298,8 +298,24 @@ def verdict_summary(spark, sf_dir):
     return verdicts.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("items"))
 
 
+def kernel_findings(spark, sf_dir):
+    """Findings of the sequential matchers by family and rule."""
+    found = kernel.scan(content(spark, sf_dir)).select("id", F.explode("findings").alias("f"))
+    return found.groupBy(F.col("f.family").alias("family"), F.col("f.rule_id").alias("rule_id")).agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("id").alias("texts"))
+
+
+def kernel_identifiers(spark, sf_dir):
+    """Keyword-bound identifiers of each text."""
+    return kernel.scan(content(spark, sf_dir)).select("id", F.size("identifiers").cast("long").alias("n"), F.concat_ws(",", F.transform("identifiers", lambda i: F.concat_ws(":", i["kind"], i["start"].cast("string"), i["end"].cast("string")))).alias("spans"))
+
+
+def kernel_verdicts(spark, sf_dir):
+    """Verdicts from all detectors together."""
+    return kernel.verdicts(content(spark, sf_dir), action="block")
+
+
 def queries() -> dict:
-    out = {f.__name__: f for f in (text_shape, fold_skeleton, hidden_characters, fnv_split, mask_email, pii_card, gs1_check, exfil_detector, frame_detector, anomaly_detector, literal_rules, score_combine, decide_actions, worst_action, verdict_summary)}
+    out = {f.__name__: f for f in (text_shape, fold_skeleton, hidden_characters, fnv_split, mask_email, pii_card, gs1_check, exfil_detector, frame_detector, anomaly_detector, literal_rules, score_combine, decide_actions, worst_action, verdict_summary, kernel_findings, kernel_identifiers, kernel_verdicts)}
     return out | {f"pii_{k}": _identifier(k) for k in ("tckn", "vkn", "iban", "email", "ssn_us", "mbi_us", "atc", "phone")}
 
 

@@ -45,7 +45,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     for k in range(3):
         frame.where(f"call_id >= {k * 20} AND call_id < {k * 20 + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.combination_stream(stream, c).writeStream.format("memory").queryName("hits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = live.combination_stream(stream, c, forget=False).writeStream.format("memory").queryName("hits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     assert {x.call_id: x.hit for x in spark.table("hits").collect()} == batch

@@ -24,5 +24,5 @@ def syslog_line(priority: int, app: Column, at_ms: Column, message: Column, most
     stamp = F.date_format(F.timestamp_millis(at_ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     clean = F.regexp_replace(message, r"[\r\n\t]+", " ")
     line = F.concat(F.lit(f"<{priority}>1 "), stamp, F.lit(" - "), app, F.lit(" - - - "), clean)
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(line, "UTF-8"), 1, most_bytes), "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(line, "UTF-8"), 1, most_bytes).cast("string")), "�+$", "")
     return F.when(F.octet_length(line) <= most_bytes, line).otherwise(cut)

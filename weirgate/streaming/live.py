@@ -32,11 +32,12 @@ def completes(masks: list[int], current: int, patterns: int) -> bool:
     return all(sum(bool(m & s) for m in masks) >= s.bit_count() for s in range(1, 1 << patterns))
 
 
-def combination_stream(calls: DataFrame, combination: Combination, enforce: bool = False, most: int = MOST_MARKS) -> DataFrame:
+def combination_stream(calls: DataFrame, combination: Combination, enforce: bool = False, most: int = MOST_MARKS, forget: bool = True) -> DataFrame:
     """(session_id, call_id, at_ms, hit) of a stream of calls; a session's recent calls are its state.
 
     Calls of a micro-batch are taken by time, then by call_id. With ``enforce`` a call that hits is denied and leaves no
-    mark. A session whose last call is older than the window is forgotten when processing time has passed it by.
+    mark. With ``forget`` a session is dropped once the window has passed in processing time since its last batch (such a
+    query never counts as idle); without, its state stays.
     """
     ship(calls.sparkSession)
     bits = sum((matches(tool_key(F.col("server_name"), F.col("tool_name")), g).cast("int") * (1 << i) for i, g in enumerate(combination.all_of)), F.lit(0))
@@ -44,7 +45,7 @@ def combination_stream(calls: DataFrame, combination: Combination, enforce: bool
     window, n = combination.window_ms, len(combination.all_of)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if forget and state.hasTimedOut:
             state.remove()
             return
         marks: list[list[int]] = json.loads(state.get[0]) if state.exists else []
@@ -57,10 +58,11 @@ def combination_stream(calls: DataFrame, combination: Combination, enforce: bool
             if mask and not (hit and enforce):
                 marks = [*marks, [at, mask]][-most:]
         state.update((json.dumps(marks),))
-        state.setTimeoutDuration(max(1, window))
+        if forget:
+            state.setTimeoutDuration(max(1, window))
         yield pd.DataFrame({"session_id": key[0], "call_id": batch["call_id"].to_numpy(), "at_ms": batch["at_ms"].to_numpy(), "hit": hits})
 
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, call_id long, at_ms long, hit boolean", "marks string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, call_id long, at_ms long, hit boolean", "marks string", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def audit_sink(path: str, chain: str, order: str, columns: list[str]) -> Callable[[DataFrame, int], None]:

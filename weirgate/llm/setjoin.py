@@ -178,7 +178,6 @@ def _collide(bucket: int):
         count = np.diff(np.append(begin, len(sig)))
         begin, count = begin[count > 1], count[count > 1]
         pairs: list[np.ndarray] = []
-        held = 0
         for step in range(1, bucket):  # members ``step`` apart, in all small buckets at once
             rest = count[count <= bucket] - step
             some = rest > 0
@@ -187,10 +186,10 @@ def _collide(bucket: int):
             start, rest = begin[count <= bucket][some], rest[some]
             i = np.repeat(start - np.append(0, np.cumsum(rest)[:-1]), rest) + np.arange(rest.sum())
             pairs.append(_tally(cls, size, least, i, i + step))
-            held += len(pairs[-1])
-            if held > 1 << 20:
-                pairs = [_add(pairs)]
-                held = len(pairs[0])
+            if sum(map(len, pairs)) > PIECE:  # the parts of a pair's count are added up later
+                x = _add(pairs)
+                pairs = []
+                yield _out(0, x["a"], x["b"], x["n"], x["least"])
         crowded = count > bucket
         at = begin[crowded]
         rest = count[crowded] - 1
@@ -209,6 +208,8 @@ def _collide(bucket: int):
     return collide
 
 
+#: Pairs held in a worker at once.
+PIECE = 1 << 17
 _PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("n", np.int64), ("least", np.int32)])
 
 
@@ -396,19 +397,20 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.searchsorted(sig, sig, side="right")
     tallies: list[np.ndarray] = []
     lo = 0
-    while lo < len(sig):  # some members against all behind them in their signature, about a million pairs at once
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(ends[lo : lo + 4096] - np.arange(lo, lo + len(ends[lo : lo + 4096]))), 1 << 20)))
+    while lo < len(sig):  # some members against all behind them in their signature
+        hi = min(lo + 4096, len(sig))
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(ends[lo:hi] - np.arange(lo, hi)), PIECE)))
         hi = min(hi, len(sig), lo + 4096)
         rest = ends[lo:hi] - np.arange(lo, hi) - 1
         i = np.repeat(np.arange(lo, hi), rest)
         j = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest) + i + 1
         apart = root[i] != root[j]
         tallies.append(_tally(cls, size, least, i[apart], j[apart]))
-        if sum(map(len, tallies)) > 1 << 21:
-            tallies = [_add(tallies)]
+        if sum(map(len, tallies)) > PIECE or hi == len(sig):
+            x = _add(tallies)
+            tallies = []
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k])) for k in ("a", "b", "n", "least")], ["a", "b", "n", "least"])
         lo = hi
-    for x in np.array_split(_add(tallies), 1 + sum(map(len, tallies)) // (1 << 18)):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[k])) for k in ("a", "b", "n", "least")], ["a", "b", "n", "least"])
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -3,12 +3,11 @@
 Unigrams and bigrams of the training documents are counted exactly (hash-partitioned, pre-aggregated in sorted
 runs). Each count c is quantised to q = floor(log2 c) + 1 and the filter gets the entries (n-gram, 1) ... (n-gram, q).
 A count is read back by probing level after level until one is absent. The filter is cut into segments by n-gram
-hash, one for each reducing task; its size follows the number of entries up to ``max_filter_bytes``, which bounds
-the broadcast. Past that, counts below a floor (the lowest that fits) quantise to zero and are left to smoothing;
-the counts themselves always cover every n-gram.
+hash and grows with the number of entries; no n-gram is left out of it, and no task holds all of it.
 
-The exact unigram score that the query also shows is looked up without a join on words: documents are cut into
-blocks, each block asks for its distinct words once, and the answers come back to the block.
+Documents are cut into blocks. Each block sends its distinct words and bigrams once to the tasks that hold their
+segments, and the answers come back to the block: levels from the filter, and for the unigram score that the query
+also shows, exact counts of the words.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from weirgate.llm.textkernel import SPACED, U64, chunks, mix, text_bytes, words
 END = np.uint64(0x6A09E667F3BCC909)
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
-#: Most bytes of the filter that is broadcast, bits for each entry, and probes for each entry.
+#: Most bytes of the filter that a task holds at a time (it takes more of it in turn), bits for each entry, and probes for each entry.
 MAX_FILTER_BYTES, ENTRY_BITS, PROBES = 64 << 20, 7, 4
 
 
@@ -112,9 +111,8 @@ def _part(kind: int, block: int, shard: int, rows: int, blob: bytes, ids: bytes
     return kind, block, shard, rows, blob, ids
 
 
-def _cut(shard_bits: int, block_bytes: int):
-    """Rows of kind 0: a block's documents as positions in its own word list; 1: the distinct words of a block and how often
-    they occur in training. Block numbers hold the partition's, so they're unique."""
+def _cut(block_bytes: int):
+    """Rows of kind 0: a block's documents as positions in its own word list, and that list. Block numbers hold the partition's, so they're unique."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,11 +121,10 @@ def _cut(shard_bits: int, block_bytes: int):
             ids, train, tokens, n = (np.concatenate([x[k] for x in held]) for k in range(4))
             vocab, spot = np.unique(tokens, return_inverse=True)
             seen = np.bincount(spot[np.repeat(train, n)], minlength=len(vocab))
-            head = np.array([len(ids), 4, len(vocab)], np.int64).tobytes()
+            own = sorted_runs(vocab, seen)
+            head = np.array([len(ids), len(own)], np.int64).tobytes()
             body = np.ascontiguousarray(spot.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
-            yield _part(0, block, 0, len(ids), head + train.astype(np.uint8).tobytes() + n.astype(np.int64).tobytes() + zlib.compress(body, 1), ids.tobytes())
-            for s, k, c in _shards(vocab, seen, shard_bits):
-                yield _part(1, block, s, len(k), sorted_runs(k, c))
+            yield _part(0, block, 0, len(ids), head + train.astype(np.uint8).tobytes() + n.astype(np.int64).tobytes() + own + zlib.compress(body, 1), ids.tobytes())
 
         for number, held in enumerate(_held(batches, block_bytes)):
             yield from _batches(close((TaskContext.get().partitionId() << 32) + number, held))
@@ -135,6 +132,15 @@ def _cut(shard_bits: int, block_bytes: int):
     return cut
 
 
+def _block(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Of a row of kind 0: which documents train, tokens of each, the block's words, how often they occur in training, and the tokens as positions among them."""
+    docs, own = np.frombuffer(blob[:16], np.int64).tolist()
+    at = 16 + 9 * docs
+    train, n = np.frombuffer(blob[16 : 16 + docs], np.uint8) > 0, np.frombuffer(blob[16 + docs : at], np.int64)
+    planes = np.frombuffer(zlib.decompress(blob[at + own :]), np.uint8).reshape(4, -1)
+    return train, n, *read_runs(blob[at : at + own]), np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32).astype(np.int64)
+
+
 def _held(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
     """Lists of (ids, train, tokens, tokens of each document) of about ``block_bytes`` of text."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -153,21 +159,28 @@ def _held(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[list[
         yield held
 
 
-def _bigram_runs(shard_bits: int, block_bytes: int, bits: int):
-    """Rows of kind 2: the bigrams of a block's training documents; they are counted only, so they aren't kept."""
+def _asked(shard_bits: int, bits: int):
+    """Rows of kind 1 and 2: the distinct words and bigrams of a block and how often they occur in training."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(held) -> Iterator[tuple]:
-            train, tokens, n = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-            pair, at = bigrams(tokens, np.concatenate([[0], np.cumsum(n)]))
-            pair, count = np.unique(short_key(pair[np.repeat(train, n)[at]], bits), return_counts=True)
-            for s, k, c in _shards(pair, count, shard_bits):
-                yield _part(2, 0, s, len(k), sorted_runs(k, c, bits))
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(block: int, blob: bytes) -> Iterator[tuple]:
+            train, n, vocab, seen, spot = _block(blob)
+            for s, k, c in _shards(vocab, seen, shard_bits):
+                yield _part(1, block, s, len(k), sorted_runs(k, c))
+            pair, at = bigrams(vocab[spot], np.concatenate([[0], np.cumsum(n)]))
+            pair, taught = short_key(pair, bits), np.repeat(train, n)[at]
+            own, often = np.unique(pair[taught], return_counts=True)
+            keys = np.union1d(own, pair[~taught])
+            counts = np.zeros(len(keys), np.int64)
+            counts[np.searchsorted(keys, own)] = often
+            for s, k, c in _shards(keys, counts, shard_bits):
+                yield _part(2, block, s, len(k), sorted_runs(k, c, bits))
 
-        for held in _held(batches, block_bytes):
-            yield from _batches(close(held))
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                yield from _batches(rows(block, blob))
 
-    return runs
+    return asked
 
 
 def short_key(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -190,25 +203,29 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
-def _count(bits: int):
+def _count(max_filter_bytes: int):
     def count(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(key, group, bits)
+        return _counted(key, group, max_filter_bytes)
 
     return count
 
 
-def _counted(key: tuple, group: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Of a shard: kind 1 rows go back to their blocks with total counts; kind 3: counts merged for the filter."""
+def _counted(key: tuple, group: Iterator[pa.RecordBatch], max_filter_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of a shard: kind 3: its n-grams that occur in training, their occurrences, and those that occur once; kind 4 (words) and 5
+    (bigrams): total counts (of words) and levels by the filter, for each block that asked, in the order of its keys."""
     order, shard = (k.as_py() for k in key)
     parts = [(b, *read_runs(blob)) for batch in group for b, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True)]
     keys, counts = _merge([p[1:] for p in parts])
-    taught = counts > 0
-    rows = [_part(3, order, shard, int(taught.sum()), sorted_runs(keys[taught], counts[taught], 64 if order == 1 else bits))]
-    if order == 1:
+    level = filter_levels(keys, counts, max_filter_bytes)
+
+    def rows() -> Iterator[tuple]:
+        yield _part(3, order, shard, len(keys), np.array([(counts > 0).sum(), counts.sum(), (counts == 1).sum()], np.int64).tobytes())
         for block, k, _ in parts:
-            own = counts[np.searchsorted(keys, k)]
-            rows.append(_part(1, block, shard, len(k), zlib.compress(np.minimum(own, 255).astype(np.uint8).tobytes() + own[own >= 255].tobytes(), 1)))
-    yield from _batches(iter(rows))
+            at = np.searchsorted(keys, k)
+            own = counts[at] if order == 1 else counts[:0]
+            yield _part(3 + order, block, shard, len(k), zlib.compress(np.minimum(own, 255).astype(np.uint8).tobytes() + own[own >= 255].tobytes(), 1), zlib.compress(level[at].tobytes(), 1))
+
+    yield from _batches(rows())
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -237,8 +254,8 @@ class Filter:
         step = mix(h + U64(0x632BE59BD9B4E019)) | U64(1)
         return [(h + U64(k) * step) % U64(segment_bits) for k in range(PROBES)]
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Expected counts by repeated probes: level after level while all bits of an entry are set."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts by repeated probes: level after level while all bits of an entry are set."""
         level = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
         base = (keys >> U64(64 - self.shard_bits) if self.shard_bits else np.zeros(len(keys), np.uint64)) * U64(self.segment_bits)
@@ -254,105 +271,83 @@ class Filter:
             if not len(at):
                 break
             level[at] = q
-        return self.expected[level]
-
-    def score(self, vocab: np.ndarray, spot: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each document: bigrams interpolated with add-one unigrams."""
-        known = self.counts(vocab)
-        base = (known + 1) / (self.tokens + self.types + 1)
-        p = base[spot]
-        tokens = vocab[spot]
-        pair, at = bigrams(tokens, first)
-        pair, back = np.unique(short_key(pair, self.key_bits), return_inverse=True)
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Expected counts."""
+        return self.expected[self.levels(keys)]
+
+
+def segment(keys: np.ndarray, counts: np.ndarray) -> Filter:
+    """The filter of some n-grams; a count of 0 has no entry."""
+    level = levels_of(counts)
+    top = max(1, int(level.max(initial=0)))
+    size = max(64, int(level.sum()) * ENTRY_BITS + 63) // 64 * 64
+    flags = np.zeros(size, np.uint8)
+    for q in range(1, top + 1):
+        for slot in Filter.slots(keys[level >= q], q, size):
+            flags[slot] = 1
+    return Filter(0, size, top, 1, int(counts.sum()), int((counts > 0).sum()), 0.0, np.packbits(flags, bitorder="little"))
+
+
+def filter_levels(keys: np.ndarray, counts: np.ndarray, max_filter_bytes: int) -> np.ndarray:
+    """What the filter gives for each of the sorted keys; of its segment ``max_filter_bytes`` are held at a time."""
+    out = np.zeros(len(keys), np.uint8)
+    entries = np.cumsum(levels_of(counts), dtype=np.int64)
+    lo = done = 0
+    while lo < len(keys):
+        hi = max(lo + 1, int(np.searchsorted(entries, done + max_filter_bytes * 8 // ENTRY_BITS, side="right")))
+        out[lo:hi] = segment(keys[lo:hi], counts[lo:hi]).levels(keys[lo:hi])
+        lo, done = hi, int(entries[hi - 1])
+    return out
+
+
+class Figures:
+    """What the score takes from the whole of the training documents."""
+
+    def __init__(self, counted: DataFrame):
+        sums = {1: np.zeros(3, np.int64), 2: np.zeros(3, np.int64)}
+        for r in counted.where("kind = 3").select("block", "blob").collect():
+            sums[r.block] += np.frombuffer(r.blob, np.int64)
+        self.types, self.tokens = int(sums[1][0]), int(sums[1][1])
+        _, pairs, once = sums[2].tolist()
+        self.weight = min(0.9, max(0.05, 1 - once / pairs)) if pairs else 0.0  # Good-Turing: the share of seen continuations
+        self.expected = _expected(64)
+
+    def score(self, levels: np.ndarray, spot: np.ndarray, first: np.ndarray, at: np.ndarray, pair_levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each document: bigrams (of which ``at`` has the second tokens) interpolated with add-one unigrams."""
+        known = self.expected[levels]
+        p = ((known + 1) / (self.tokens + self.types + 1))[spot]
         left, right = known[spot[at - 1]], known[spot[at]]
-        joint = np.minimum(self.counts(pair)[back], np.minimum(left, right))  # no n-gram is more frequent than its parts
+        joint = np.minimum(self.expected[pair_levels], np.minimum(left, right))  # no n-gram is more frequent than its parts
         w = np.where(left > 0, self.weight, 0.0)
         p[at] = (1 - w) * p[at] + w * joint / np.maximum(left, 1)
         sums = np.concatenate([[0.0], np.cumsum(np.log10(p))])
         return sums[first[1:]] - sums[first[:-1]]
 
 
-def _segment(segment_bits: int, floor: int):
-    def fill(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(segment_bits, np.uint8)
-        for batch in group:
-            for blob in batch.column("blob").to_pylist():
-                keys, counts = read_runs(blob)
-                level = levels_of(counts)
-                for q in range(floor, int(level.max(initial=0)) + 1):
-                    for slot in Filter.slots(keys[level >= q], q, segment_bits):
-                        flags[slot] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
-
-    return fill
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, level, n-grams, occurrences) of merged counts; level 0: n-grams that occur once."""
-    for batch in batches:
-        for order, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            counts = read_runs(blob)[1]
-            level = levels_of(counts)
-            n = np.bincount(level, minlength=2)
-            total = np.bincount(level, weights=counts, minlength=2).astype(np.int64)
-            n[0], total[0] = (counts == 1).sum(), 0
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([order] * k, pa.int64()), pa.array(np.arange(k)), pa.array(n), pa.array(total)], ["ngram", "level", "n", "total"])
-
-
-def build(counted: DataFrame, shard_bits: int, max_filter_bytes: int, bits_kept: int) -> Filter:
-    """The filter of merged counts (kind 3 rows)."""
-    table = counted.select("block", "blob").mapInArrow(_levels, "ngram long, level long, n long, total long").groupBy("ngram", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    tokens = sum(r.total for r in table if r.ngram == 1)
-    types = sum(r.n for r in table if r.ngram == 1 and r.level > 0)
-    pairs = sum(r.total for r in table if r.ngram == 2)
-    once = sum(r.n for r in table if r.ngram == 2 and r.level == 0)
-    top = max((r.level for r in table if r.n), default=1) or 1
-    at_least = [sum(r.n for r in table if r.level >= q) for q in range(top + 2)]  # n-grams that have level q
-    floor = 1
-    entries = sum(at_least[1:])
-    while floor < top and entries * ENTRY_BITS > max_filter_bytes * 8:
-        entries -= at_least[floor]
-        floor += 1
-    segment = max(64, -(-entries * ENTRY_BITS // (1 << shard_bits)) + 63) // 64 * 64
-    weight = min(0.9, max(0.05, 1 - once / pairs)) if pairs else 0.0  # Good-Turing: the share of seen continuations
-    size = segment // 8
-    bits = np.zeros(size << shard_bits, np.uint8)
-    for r in counted.groupBy("shard").applyInArrow(_segment(segment, floor), "shard int, bits binary").toLocalIterator():
-        bits[r.shard * size : (r.shard + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return Filter(shard_bits, segment, int(top), floor, tokens, types, weight, bits, bits_kept)
-
-
 _OUT = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shared, shard_bits: int):
+def _score(figures: Figures, bits: int):
     def score(key: tuple, group: pa.Table) -> pa.Table:
-        kind = group.column("kind").to_pylist()
-        at = kind.index(0)
-        blob, ids = group.column("blob")[at].as_py(), group.column("ids")[at].as_py()
-        docs, wide, types = np.frombuffer(blob[:24], np.int64).tolist()
-        train = np.frombuffer(blob[24 : 24 + docs], np.uint8) > 0
-        n = np.frombuffer(blob[24 + docs : 24 + 9 * docs], np.int64)
-        planes = np.frombuffer(zlib.decompress(blob[24 + 9 * docs :]), np.uint8).reshape(wide, -1)
-        spot = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint16 if wide == 2 else np.uint32).astype(np.int64)
-        vocab, counts = np.zeros(types, np.uint64), np.zeros(types, np.int64)
-        words_of = {s: read_runs(b)[0] for s, k, b in zip(group.column("shard").to_pylist(), kind, group.column("blob").to_pylist(), strict=True) if k == 1}
-        totals = {s: b for s, k, b in zip(group.column("shard").to_pylist(), kind, group.column("blob").to_pylist(), strict=True) if k == 4}
-        place = 0
-        for s in sorted(words_of):
-            k = len(words_of[s])
-            raw = zlib.decompress(totals[s])
+        rows = sorted(zip(*(group.column(k).to_pylist() for k in ("kind", "shard", "blob", "ids")), strict=True), key=lambda r: r[:2])
+        blob, ids = rows[0][2:]
+        train, n, vocab, _, spot = _block(blob)
+        levels = {k: np.frombuffer(b"".join(zlib.decompress(r[3]) for r in rows if r[0] == k), np.uint8) for k in (4, 5)}
+        counts = []
+        for raw, k in ((zlib.decompress(r[2]), len(zlib.decompress(r[3]))) for r in rows if r[0] == 4):
             own = np.frombuffer(raw[:k], np.uint8).astype(np.int64)
             own[own == 255] = np.frombuffer(raw[k:], np.int64)
-            vocab[place : place + k], counts[place : place + k] = words_of[s], own
-            place += k
-        model = shared.value
+            counts.append(own)
+        counts = np.concatenate(counts)
         first = np.concatenate([[0], np.cumsum(n)])
-        logs = np.log10((counts + 1) / (model.tokens + model.types + 1))[spot]
+        pair, at = bigrams(vocab[spot], first)
+        back = np.unique(short_key(pair, bits), return_inverse=True)[1]
+        logs = np.log10((counts + 1) / (figures.tokens + figures.types + 1))[spot]
         base = np.add.reduceat(logs, first[:-1])
         known = np.add.reduceat((counts > 0)[spot].astype(np.int64), first[:-1])
-        return pa.table([np.frombuffer(ids, np.int64), train, n, known, np.full(docs, model.tokens), base, model.score(vocab, spot, first)], names=[x.split()[0] for x in _OUT.split(", ")])
+        return pa.table([np.frombuffer(ids, np.int64), train, n, known, np.full(len(n), figures.tokens), base, figures.score(levels[4], spot, first, at, levels[5][back])], names=[x.split()[0] for x in _OUT.split(", ")])
 
     return score
 
@@ -367,12 +362,7 @@ def score_documents(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES, max_
     slim = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     shard_bits = min(17, max(4, (parts_for(slim, 16 << 20) - 1).bit_length()))
     kept = key_bits(slim)
-    parts = materialize(slim.mapInArrow(_cut(shard_bits, block_bytes), _PARTS), "blocks")
-    pairs = slim.where("train").mapInArrow(_bigram_runs(shard_bits, block_bytes, kept), _PARTS)
-    counted = materialize(parts.where("kind = 1").unionByName(pairs).groupBy("kind", "shard").applyInArrow(_count(kept), _PARTS), "counts")
-    model = build(counted.where("kind = 3"), shard_bits, max_filter_bytes, kept)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    back = counted.where("kind = 1").withColumn("kind", F.lit(4))
-    return parts.where("kind < 2").unionByName(back).groupBy("block").applyInArrow(_score(shared, shard_bits), _OUT)
-
-
+    parts = materialize(slim.mapInArrow(_cut(block_bytes), _PARTS), "blocks")
+    counted = materialize(parts.mapInArrow(_asked(shard_bits, kept), _PARTS).groupBy("kind", "shard").applyInArrow(_count(max_filter_bytes), _PARTS), "counts")
+    figures = Figures(counted)
+    return parts.unionByName(counted.where("kind > 3")).groupBy("block").applyInArrow(_score(figures, kept), _OUT)

@@ -110,6 +110,22 @@ def test_terms_that_disclose_an_entity_are_sanitised(spark):
     assert "zq@corp" not in shown and "Zarquon" not in shown and "[EMAIL]" in shown and "common" in shown
 
 
+def test_terms_far_from_an_entity_or_without_it_are_sanitised(spark):
+    filler = "common words about things " * 8
+    rows = [(i, f"{filler} {i}") for i in range(200)]
+    rows += [(300 + i, f"Zarquon Bo {i} {filler} zq@corp.example {i} {filler} zarquon") for i in range(6)]
+    rows += [(400, f"{filler} from Zarquon, Bo alone"), (401, f"unique {filler} me@x.io one {filler} me@x.io two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.sanitise(docs).join(docs, "doc_id").withColumn("shown", pii.sanitised_text(F.col("text"), F.col("spans")))
+    got = {r.doc_id: r for r in out.collect()}
+    for i in (*range(300, 306), 400):
+        text = dict(rows)[i]
+        spans = [(s.start, s.end) for s in got[i].spans if s.kind == "term"]
+        assert spans == [m.span() for m in re.finditer(r"(?i)\b(?:zarquon|bo)\b", text)] or i == 400 and {text[a:b] for a, b in spans} >= {"Zarquon", "Bo"}
+        assert "zarquon" not in got[i].shown.lower() and "Bo " not in got[i].shown
+    assert not got[5].spans and {s.kind for s in got[401].spans} == {"email"}
+
+
 def url_parts(url):
     if url is None or "://" not in url:
         return "", ""

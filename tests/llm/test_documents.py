@@ -196,6 +196,13 @@ def test_word_bpe_equals_the_library():
         assert ids.tolist() == b.library.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_word_bpe_takes_every_low_code_point():
+    b = WordBpe()
+    texts = [t for c in map(chr, range(0x300)) for t in (c, f"a{c}b {c} 1{c}", f"It{c}s")]
+    for t, ids in zip(texts, b.encode(texts), strict=True):
+        assert ids.tolist() == b.library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_lm_scores(spark, docs):
     rows = [r for r in fixtures.rows() if r[0] is not None and len(r[1] or "") < 20_000]
     table = spark.createDataFrame(rows, fixtures.SCHEMA).repartition(3)

@@ -1,7 +1,7 @@
 """A vectorised front end for the lower-casing word BPE vocabulary (``word_bpe_49k.json``).
 
-Gives the ids that the tokenizers library gives. Texts whose characters are all below U+0300 (and that hold no
-U+0130) go through numpy: NFC leaves them as they are, words are cut by character class, and each distinct word
+Gives the ids that the tokenizers library gives. Texts whose characters and their lower-case forms are all single
+and below U+0300 go through numpy: NFC leaves them as they are, words are cut by character class, and each distinct word
 is merged once and kept in a hash table. All other texts go to the library as a whole.
 """
 
@@ -77,6 +77,7 @@ class WordBpe:
             self.pair_key[slot], self.pair_rank[slot] = key, rank
         self.made = made
         self.lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_LIMIT)], np.uint32)
+        self.plain = np.array([len(chr(c).lower()) == 1 for c in range(_LIMIT)]) & (self.lower < _LIMIT)
         self.kind = _classes()
         self.codes = np.random.default_rng(7).integers(1, 2**63, 1024, dtype=np.uint64) * U64(2) + U64(1)
         self._clear()
@@ -265,7 +266,7 @@ class WordBpe:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif t.isascii() or _plain(t):
+            elif t.isascii() or self._plain(t):
                 fast.append(i)
                 size += len(t)
                 if size > 1 << 20:
@@ -276,6 +277,10 @@ class WordBpe:
         self._give(out, fast, texts)
         return out
 
+    def _plain(self, text: str) -> bool:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return bool(points.max() < _LIMIT) and bool(self.plain[points].all())
+
     def _give(self, out, which, texts) -> None:
         if which:
             for i, ids in zip(which, self._fast([texts[i] for i in which]), strict=True):
@@ -286,8 +291,3 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     from weirgate.llm.textkernel import _power
 
     return _power(n)
-
-
-def _plain(text: str) -> bool:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return bool(points.max() < _LIMIT) and not (points == 0x130).any()

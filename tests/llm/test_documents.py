@@ -9,8 +9,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm import fixtures
 from weirgate.llm import decontam, dedup, lmscore, packing, setjoin
@@ -196,6 +198,13 @@ def test_word_bpe_equals_the_library():
         assert ids.tolist() == b.library.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_word_bpe_gives_added_tokens_as_the_file_does():
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>x", "<|ENDOFTEXT|> <|endoftext", "é<|endoftext|><|endoftext|> 中", "plain", "<|endoftext|>"]
+    got = [ids.tolist() for ids in WordBpe().encode(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [320, 49407, 321]
+
+
 def test_word_bpe_takes_every_low_code_point():
     b = WordBpe()
     texts = [t for c in map(chr, range(0x300)) for t in (c, f"a{c}b {c} 1{c}", f"It{c}s")]

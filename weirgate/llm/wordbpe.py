@@ -2,7 +2,8 @@
 
 Gives the ids that the tokenizers library gives. Texts whose characters and their lower-case forms are all single
 and below U+0300 go through numpy: NFC leaves them as they are, words are cut by character class, and each distinct word
-is merged once and kept in a hash table. All other texts go to the library as a whole.
+is merged once and kept in a hash table. All other texts go to the library as a whole, as do those that hold the
+string of one of the file's added tokens (which the library turns to that token's id).
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ class WordBpe:
     def __init__(self, path: str | None = None):
         path = path or public_tokenizers.path(FILE)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, self.added = file["model"], [t["content"] for t in file["added_tokens"]]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         symbols = _byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
@@ -266,7 +267,7 @@ class WordBpe:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif t.isascii() or self._plain(t):
+            elif (t.isascii() or self._plain(t)) and not any(a in t for a in self.added):
                 fast.append(i)
                 size += len(t)
                 if size > 1 << 20:

@@ -91,6 +91,19 @@ def test_obfuscated_and_aimed_insults_show_in_the_features():
     assert plain["fixed"] == 0 and aimed["fixed"] > 0 and aimed["near_second"] > 0 and masked["obfuscated"] > 0
 
 
+def test_words_masked_by_runs_of_signs_show_in_the_features():
+    at = toxicity.NAMES.index("obfuscated")
+    for text in ("what an id10t", "tr@$h", "id10t", "1 !! tr@$h !!", "(i.d..i--o..t)", "é id10t."):
+        assert toxicity.features(text, {})[at] > 0, text
+    for text in ("", "1", "1a", "a1", "a fine day...", "10 days (or 3-4)", "well-known"):
+        assert toxicity.features(text, {})[at] == 0, text
+    r = np.random.default_rng(3)
+    for _ in range(3000):  # the gate never shuts where the pattern matches
+        text = "".join(r.choice(list("aZé10@$-. ;8_中"), r.integers(1, 12)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert toxicity._between_letters(toxicity._SIGN[raw], toxicity._KIND[raw]) or not toxicity._MASKED.search(text), text
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else DATA

@@ -71,7 +71,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     kind = _KIND[raw]
     count = np.bincount(kind, minlength=5)
     obfuscated = 0
-    if ((kind[1:-1] >= 2) & (kind[1:-1] <= 3) & (kind[:-2] <= 1) & (kind[2:] <= 1)).any():  # a sign or digit between letters
+    if _between_letters(_SIGN[raw], kind):
         obfuscated = sum((m := _unmask(t)) in _INSULTS or lexicon.get(m, 0.0) > 1.5 for t in _MASKED.findall(text))
     same = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] != 32)
     repeats = int((same[1:] & ~same[:-1]).sum()) + int(same[:1].sum())
@@ -90,6 +90,16 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+#: Bytes that stand between letters in ``_MASKED``.
+_SIGN = np.isin(np.arange(256), list(b"013457@$!*.-"))
+
+
+def _between_letters(sign: np.ndarray, kind: np.ndarray) -> bool:
+    """Whether a run of such signs, of any length, stands between letters: what ``_MASKED`` needs."""
+    begin, end = np.flatnonzero(~sign[:-1] & sign[1:]), np.flatnonzero(sign[:-1] & ~sign[1:])
+    end = end[1:] if len(sign) and sign[0] else end  # a run at the start has no letter before it
+    begin = begin[: len(end)]  # nor has one at the end a letter behind it
+    return bool(((kind[begin] <= 1) & (kind[end + 1] <= 1)).any())
 
 
 class Trees:

@@ -115,6 +115,13 @@ def test_one_of_each_component_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in components(clusters(60))}
 
 
+def test_rows_of_one_doc_id_stay_or_go_each_by_its_component(spark):
+    one, other = fixtures.prose(1, 80), fixtures.prose(2, 80)
+    rows = [(1, one), (7, one + " more"), (7, other), (9, other + " more"), (None, None)]
+    kept = setjoin.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
 def test_signatures_of_linked_sets_meet():
     r = np.random.default_rng(5)
     for n in [*range(1, 70), 100, 150, 191, 192, 200, 500, 575, 577, 1500]:

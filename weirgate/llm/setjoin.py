@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.graph import components
@@ -123,7 +123,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, cls = [0] * batch.num_rows, [0] * batch.num_rows
         for i, s in _sets(batch):
             n[i], cls[i] = len(s), set_class(s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "class"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "row_hash", "n_shingles", "class"])
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +330,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET,
     one shingle of the whole sequence; a null or wordless text has none and stands alone. Repeated rows and
     copies fall into one component; a null doc_id counts as the smallest; other columns are ignored.
     """
+    return _rows_of_components(docs, percent, bucket, rows_bytes).drop("row_hash")
+
+
+def _rows_of_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 4 << 20) -> DataFrame:
+    """As ``jaccard_components``, with the hash of each row's text, which tells rows of one doc_id apart."""
     if percent < 75:
         raise ValueError("the bands are laid out for a similarity of 0.75 or more")
     slim = texts(docs)
-    table = materialize(slim.mapInArrow(_classes, "doc_id long, n_shingles long, class long"), "classes")
+    hashed = texts(docs, _row_hash().alias("row_hash"))
+    table = materialize(hashed.mapInArrow(_classes, "doc_id long, row_hash long, n_shingles long, class long"), "classes")
     first = materialize(table.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("d"))).alias("m")).select("class", F.col("m.d").alias("doc_id")), "first")
     rows = slim.mapInArrow(_signature_rows, "sig long, class long, n int, least int")
     parts = parts_for(slim, rows_bytes)
@@ -374,9 +380,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET,
     reach = first.join(roots, first["class"] == roots.node, "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = reach.groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("d"))).alias("m"))
     names = materialize(heavy_join(reach.select("class", "root"), least, "root").select("class", F.col("m.d").alias("component")), "names")
-    lone = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    lone = table.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     joined = heavy_join(table.where("n_shingles > 0"), names, "class")
-    return joined.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(lone)
+    return joined.select("doc_id", "row_hash", "n_shingles", F.col("component").alias("component_id")).unionByName(lone)
+
+
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -414,7 +424,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stay when one document (the smallest doc_id) of each component does."""
-    found = jaccard_components(docs, percent)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone.doc_id), "left_anti")
+    """The rows of ``docs`` that stay when one document (the smallest doc_id) of each component does.
+
+    Rows of one doc_id with different texts stay or go each by its own component.
+    """
+    found = _rows_of_components(docs, percent)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("row_hash").alias("_gone_hash")).distinct()
+    hashed = docs.withColumn("_hash", _row_hash())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash"))
+    return hashed.join(gone, same, "left_anti").select(*docs.columns)

@@ -2,7 +2,8 @@
 
 A Misra-Gries summary of every partition finds the digests that may be frequent; their winners are verified
 exactly and broadcast (at most ``counters`` rows), so copies of a hot text are settled where they are read.
-All other digests take the ordinary shuffle, where no digest holds more than about ``2 / counters`` of the rows.
+All other digests take the ordinary shuffle: winners by a partially aggregated minimum, then a join by digest, where no
+digest holds more than about ``2 / counters`` of the rows.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.store import materialize, texts
+from weirgate.llm.store import keep_rows, materialize, row_hash, texts
 from weirgate.llm.textkernel import text_bytes
 
 #: Deleted before texts are compared.
@@ -35,7 +36,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, row_hash, digest, length) of every row, stored once; null text counts as empty."""
-    slim = texts(docs, F.xxhash64("text").alias("row_hash"))
+    slim = texts(docs, row_hash().alias("row_hash"))
     table = slim.mapInArrow(_digest, "doc_id long, row_hash long, digest binary, length long")
     return materialize(table.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
@@ -75,36 +76,28 @@ def exact_dedup(docs: DataFrame, counters: int = 256) -> DataFrame:
     table = digests(docs)
     spark = table.sparkSession
     heavy = [bytes(r.digest) for r in misra_gries(table, counters).where(F.col("bound") > 1).collect()]
-    best = F.struct((-F.col("length")).alias("l"), "doc_id", "uid")
-    order = [F.desc("length"), F.asc("doc_id"), F.asc("uid")]
-    group = Window.partitionBy("digest")
+    best = F.min(F.struct((-F.col("length")).alias("l"), "doc_id", "uid")).alias("best")
     columns = ["uid", "doc_id", "row_hash", "digest", "length", "keep_id", "group_size", "kept"]
 
-    def light(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn("place", F.row_number().over(group.orderBy(*order)))
-        ranked = ranked.withColumn("keep_id", F.first("doc_id").over(group.orderBy(*order)))
-        ranked = ranked.withColumn("group_size", F.count(F.lit(1)).over(group))
-        return ranked.withColumn("kept", F.col("place") == 1).select(*columns)
+    def winners(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
+        return found.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "group_size")
+
+    def settle(rows: DataFrame, won: DataFrame) -> DataFrame:
+        return rows.join(won, "digest").withColumn("kept", F.col("uid") == F.col("keep_uid")).select(*columns)
 
     if not heavy:
-        return light(table)
-    is_heavy = F.col("digest").isin(heavy) if len(heavy) <= 8 else None
-    marks = spark.createDataFrame([(h,) for h in heavy], "digest binary")
-    if is_heavy is None:
-        hot, cold = table.join(F.broadcast(marks), "digest", "left_semi"), table.join(F.broadcast(marks), "digest", "left_anti")
-    else:
-        hot, cold = table.where(is_heavy), table.where(~is_heavy)
-    verified = hot.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")).collect()
-    winners = spark.createDataFrame([(bytes(r.digest), r.best.doc_id, r.best.uid, r.group_size) for r in verified], "digest binary, keep_id long, keep_uid long, group_size long")
-    settled = hot.join(F.broadcast(winners), "digest").withColumn("kept", F.col("uid") == F.col("keep_uid"))
-    return settled.select(*columns).unionByName(light(cold))
+        return settle(table, winners(table))
+    marks = F.broadcast(spark.createDataFrame([(h,) for h in heavy], "digest binary"))
+    hot, cold = table.join(marks, "digest", "left_semi"), table.join(marks, "digest", "left_anti")
+    verified = spark.createDataFrame([tuple(r) for r in winners(hot).collect()], "digest binary, keep_id long, keep_uid long, group_size long")
+    return settle(hot, F.broadcast(verified)).unionByName(settle(cold, winners(cold)))
 
 
 def drop_copies(docs: DataFrame, counters: int = 256) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (texts included)."""
-    kept = exact_dedup(docs, counters).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("row_hash").alias("_keep_hash"))
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash"))
-    stays = left.join(kept, same, "left_semi")
-    once = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
-    return stays.withColumn("_place", F.row_number().over(once)).where("_place = 1").select(*docs.columns)
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns (texts included).
+
+    Texts equal but for blanks are copies, null ones and blank ones too; of repeated rows one stays. Column names may be
+    any; an empty table gives an empty result.
+    """
+    return keep_rows(docs, exact_dedup(docs, counters).select("doc_id", "row_hash", F.col("kept").alias("stays")))

@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from weirgate.llm.store import materialize
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that it reaches.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing changes; each round
-    is written to the shared folder. A node's smallest neighbour is found by a partially aggregated minimum,
-    so a hub is not gathered in one task.
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing changes, for as many rounds
+    as that takes (about the logarithm of the longest path); each round is written to the shared folder. A node's
+    smallest neighbour is found by a partially aggregated minimum, so a hub is not gathered in one task. Loops and
+    repeated edges add nothing; an edge with a null end is left out; no edges give no rows.
     """
-    pairs = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct()
+    pairs = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("a is not null and b is not null and u <> v").distinct()
     pairs = materialize(pairs, "edges")
     before = None
-    for _ in range(rounds):
+    while (now := tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())) != before:
+        before = now
+        if not now[0]:
+            break
         both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         # large star: every larger neighbour of x is hung on x's smallest
@@ -28,11 +32,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         pairs = materialize(small, "edges")
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     tops = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops.select("node", F.col("node").alias("root")))
+
+
+def merge_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of the components ``roots`` joined by more edges: only the contracted edges are walked."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    joined = edges.join(a, "a", "left").join(b, "b", "left")
+    tops = materialize(components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "tops")
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(tops.join(moved.select("node"), "node", "left_anti").select("node", "root"))

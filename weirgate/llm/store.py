@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirgate.session import ship
@@ -15,9 +15,11 @@ _WRITTEN: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set, a temporary one on a local master, else an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weirgate-checkpoint-")
         atexit.register(_remove_local, root)
         spark.sparkContext.setCheckpointDir(root)
@@ -97,3 +99,49 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     near = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return near.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
+#: Rows of a table of keys that is broadcast at most.
+BROADCAST_KEYS = 1 << 20
+
+
+def row_hash() -> Column:
+    """The hash of a row's text, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``docs`` that stay by ``decided`` (doc_id, row_hash, stays: a row for each row), one of each repeated row.
+
+    The keys that go, or that several staying rows share, are broadcast while there are at most ``most``, so that texts
+    stay where they are read; more keys meet the rows in a shuffle join. Rows of one doc_id and text are repeated; the one
+    whose other columns hash to the least stays. Column names may be any.
+    """
+    keys = decided.groupBy("doc_id", "row_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    marks = materialize(keys.where("not stays or rows > 1").select("doc_id", "row_hash", "stays"), "marks")
+    if marks.isEmpty():
+        return docs
+    hashed, key, text, mark = (fresh(docs, f"{n}_of_row") for n in ("hash", "key", "text", "mark"))
+    named = marks.select(F.col("doc_id").alias(key), F.col("row_hash").alias(text), F.col("stays").alias(mark))
+    side = F.broadcast(named) if named.count() <= most else named
+    left = docs.withColumn(hashed, row_hash())
+    joined = left.join(side, left["doc_id"].cast("long").eqNullSafe(side[key]) & (left[hashed] == side[text]), "left")
+    out = joined.where(F.col(mark).isNull()).select(*map(_quoted, docs.columns))
+    if marks.where("stays").isEmpty():
+        return out
+    place = fresh(joined, "place")
+    once = Window.partitionBy("doc_id", hashed).orderBy(F.xxhash64(*map(_quoted, docs.columns)))
+    repeated = joined.where(F.col(mark)).withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
+    return out.unionByName(repeated.select(*map(_quoted, docs.columns)))
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures
-from weirgate.llm import decontam, dedup, lmscore, packing, setjoin
+from weirgate.llm import decontam, dedup, graph, lmscore, packing, setjoin
 from weirgate.llm.textkernel import lower_ascii
 from weirgate.llm.wordbpe import WordBpe
 
@@ -288,3 +288,27 @@ def test_empty_tables(spark):
     assert packing.pack_documents(empty).count() == 0
     assert decontam.contamination(empty, bench).count() == 0
     assert lmscore.score_documents(empty, F.lit(True)).count() == 0
+
+
+def test_components_by_one_task_and_by_all(spark):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 900, (600, 2))] + [(k, k + 1) for k in range(2000, 2100)] + [(5000, k) for k in range(5001, 5090)] + [(7, 7), (None, 3)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    parent = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in parent}
+    for most in (0, 1 << 20):
+        assert {r.node: r.root for r in graph.components(table, most).collect()} == want
+    assert graph.components(table.limit(0), 0).collect() == graph.components(table.limit(0)).collect() == []
+    half, rest = table.where("pmod(xxhash64(a, b), 2) = 0"), table.where("pmod(xxhash64(a, b), 2) = 1")
+    merged = graph.merge_components(graph.components(half), rest)
+    assert {r.node: r.root for r in merged.collect()} == want

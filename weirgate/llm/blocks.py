@@ -35,6 +35,12 @@ def entries(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype) if data is not None else np.zeros(0, dtype)
 
 
+def sizes(column: pa.Array, width: int) -> np.ndarray:
+    """How many entries of ``width`` bytes each row of a binary column packs."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return np.diff(off).astype(np.int64) // width
+
+
 def gather(batches: Iterator[pa.RecordBatch], **columns) -> list[np.ndarray]:
     """All entries of a partition's rows, column by column (name = dtype)."""
     got = [[entries(batch.column(n), t) for n, t in columns.items()] for batch in batches]

@@ -40,11 +40,13 @@ CELLS = 3
 #: Members of a signature that are paired with each other.
 BUCKET = 32
 #: Signatures that a worker collects before it deals them to partitions or thins out crowded ones.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Leaders are tried for a set with a crowded signature for every ``LED`` shingles: the hottest of so many.
 LED, LEADERS = 8, 4
 #: Part numbers that signatures are dealt to at least.
 PART_NUMBERS = 512
+#: Shingles of sets with crowded signatures that a task joins.
+CROWDED_SHINGLES = 1 << 21
 #: Sets from this size on are told apart by four bytes of each hash, smaller ones by two.
 WIDE = 1 << 12
 #: Pairs held in a worker at once.
@@ -277,7 +279,7 @@ def _signatures_of(batch: pa.RecordBatch) -> np.ndarray:
     own = blocks.entries(batch.column("sig"), np.uint8).reshape(-1, SIG_BYTES)
     sig = np.zeros((len(own), 8), np.uint8)
     sig[:, :SIG_BYTES] = own
-    size = np.diff(np.frombuffer(batch.column("sig").buffers()[1], np.int32)[batch.column("sig").offset :][: batch.num_rows + 1]) // SIG_BYTES
+    size = blocks.sizes(batch.column("sig"), SIG_BYTES)
     return sig.view(np.uint64).ravel() | (np.repeat(np.asarray(batch.column("part")), size).astype(np.uint64) << U64(8 * SIG_BYTES))
 
 
@@ -331,8 +333,8 @@ def _crowd_out(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class of the partition: its size, how many crowded signatures it holds, and the leaders of most of them if
-    it holds one for every ``LED`` shingles (the others are left to the join on rare prefixes)."""
+    """For each class of the partition: its size, how many crowded signatures it holds, and those of its leaders that lead
+    most, if it holds a signature for every ``LED`` shingles (the others are left to the join on rare prefixes)."""
     leader, cls, n, many = blocks.gather(batches, leader=np.int64, **{"class": np.int64}, size=np.uint16, many=np.int64)
     order = np.lexsort((leader, cls))
     leader, cls, n, many = leader[order], cls[order], n[order], many[order]
@@ -344,7 +346,9 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.minimum(np.add.reduceat(many, begin), ALL)
     size = n[begin].astype(np.int32)
     tried = LED * total >= size
-    by = np.lexsort((leader, -many, cls))
+    # a leader that many of the partition's classes (a random share of all) have in common is likely to be central
+    _, who = np.unique(leader, return_inverse=True)
+    by = np.lexsort((leader, -np.bincount(who, weights=np.minimum(many, ALL - 1))[who], cls))
     place = np.arange(len(by)) - np.repeat(begin, count)
     led = by[(place < LEADERS) & np.repeat(tried, count)]
     off = np.append(0, np.cumsum(np.where(tried, np.minimum(count, LEADERS), 0))).astype(np.int32)
@@ -380,7 +384,7 @@ def _bloom(ids: DataFrame, nbytes: int) -> np.ndarray:
 
     out = np.zeros((bits // 8 // min(SEGMENT, bits // 8), min(SEGMENT, bits // 8)), np.uint8)
     segments = ids.mapInArrow(build, "part int, bits binary").repartition("part").mapInArrow(_union, "part int, bits binary")
-    for r in segments.toLocalIterator():
+    for r in segments.collect():  # at most ``nbytes``
         out[r.part] |= np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
@@ -484,21 +488,20 @@ class _Documents:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: first by short sets, which keep every link, then by whole ones."""
-        nodes = materialize(_ends(pairs).distinct(), "nodes")
-        sets = materialize(self.slim.mapInArrow(_needed(self.filter_for(nodes)), "class long, short binary, shingles binary"), "sets")
-        near = materialize(_meet(pairs, sets.select("class", F.col("short").alias("set")), _similar(self.percent, most_shared)), "near")
+        degrees = materialize(_ends(pairs).groupBy("class").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+        sets = materialize(self.slim.mapInArrow(_needed(self.filter_for(degrees)), "class long, short binary, shingles binary"), "sets")
+        wide = degrees.where("degree > 64").select("class", F.floor(F.col("degree") / 64).cast("int").alias("most"))
+        near = materialize(_meet(pairs, wide, sets.select("class", F.col("short").alias("set")), _similar(self.percent, most_shared)), "near")
         whole = sets.select("class", F.col("shingles").alias("set")).join(_ends(near).distinct(), "class", "left_semi")
-        return _meet(near, whole, _similar(self.percent, shared_shingles))
+        return _meet(near, wide, whole, _similar(self.percent, shared_shingles))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
 
 
-def _meet(pairs: DataFrame, sets: DataFrame, check) -> DataFrame:
-    """The pairs (a, b) that ``check`` passes on their sets. A hub's set is copied once for every 64 of its pairs, so that no task gets all of them."""
-    wide = _ends(pairs).groupBy("class").agg(F.count(F.lit(1)).alias("degree")).where("degree > 64")
-    wide = materialize(wide.select("class", F.floor(F.col("degree") / 64).cast("int").alias("most")), "hubs")
+def _meet(pairs: DataFrame, wide: DataFrame, sets: DataFrame, check) -> DataFrame:
+    """The pairs (a, b) that ``check`` passes on their sets. The set of a ``wide`` class (with very many pairs) is copied, so that no task gets all of them."""
     copies = sets.dropDuplicates(["class"]).join(wide, "class", "left").select("class", "set", F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(0)))).alias("salt"))
     a, b = (wide.select(F.col("class").alias(x), F.col("most").alias(f"m{x}")) for x in "ab")
     dealt = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ma", F.lit(0)).alias("ma"), F.coalesce("mb", F.lit(0)).alias("mb"))
@@ -508,7 +511,7 @@ def _meet(pairs: DataFrame, sets: DataFrame, check) -> DataFrame:
     return with_b.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 8 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reached by links).
 
     Two documents link when 100 * intersection >= ``percent`` * union (75 or more). Fewer than five words make
@@ -519,7 +522,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET,
     return _rows_of_components(docs, percent, bucket, rows_bytes).drop("row_hash")
 
 
-def _rows_of_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 8 << 20) -> DataFrame:
+def _rows_of_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 4 << 20) -> DataFrame:
     """As ``jaccard_components``, with the hash of each row's text, which tells rows of one doc_id apart."""
     if percent < 75:
         raise ValueError("the bands are laid out for a similarity of 0.75 or more")
@@ -550,10 +553,10 @@ def _rows_of_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET
     tried = materialize(best.unionByName(led).distinct(), "best")
     roots = materialize(components(materialize(whole.links(tried), "links")), "roots")
     # then all candidates that are still apart, and those that only crowded signatures could have told
-    lost = crowd.where(F.col("crowded") >= wanted_column(F.col("size"))).select("class")
+    lost = crowd.where(F.col("crowded") >= wanted_column(F.col("size")))
     rest = _apart(pairs.select("a", "b"), roots)
-    if not lost.isEmpty():
-        rest = rest.unionByName(rare_prefix_pairs(slim, _passed(whole.filter_for(lost)), roots, parts, PIECE))
+    if shingles := lost.agg(F.sum("size")).first()[0]:
+        rest = rest.unionByName(rare_prefix_pairs(slim, _passed(whole.filter_for(lost)), roots, 1 + shingles // CROWDED_SHINGLES, PIECE))
     rest = materialize(rest.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
         roots = materialize(merge_components(roots, materialize(whole.links(rest), "links")), "roots")

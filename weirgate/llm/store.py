@@ -55,10 +55,10 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; Arrow batches are held to 2,000 rows and 8 MB for the session, so that the workers' batches fit beside the heap."""
+    """``df``; Arrow batches are held to 2,000 rows and 4 MB for the session, so that the workers' batches fit beside the heap."""
     conf = ship(df.sparkSession).conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm import blocks
-from weirgate.llm.textkernel import U64, mix
+from weirgate.llm.textkernel import U64, lean, mix
 
 #: Shingles that a worker collects before it deals them to partitions.
 HELD = 1 << 20
 
 
+#: Different pairs (16 bytes each) that a worker collects before it passes them on.
+PAIRS = 1 << 20
 #: 64-bit words of a parity bitmap.
 WORDS = 8
 
@@ -202,11 +204,11 @@ def _joined(piece: int):
                 ok = 7 * apart <= n[i] + n[j]
                 i, j = i[ok], j[ok]
                 held.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
-                if sum(map(len, held)) > piece:  # sets that share several shingles meet several times
+                if sum(map(len, held[1:])) > piece:  # sets that share several shingles meet several times
                     held = [_once(held)]
-                if held and len(held[0]) > piece:
-                    yield _pairs(held)
-                    held = []
+                    if len(held[0]) > PAIRS:
+                        yield _pairs(held)
+                        held = []
             if held:
                 yield _pairs(held)
 
@@ -226,9 +228,9 @@ def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
 
 def rare_prefix_pairs(slim: DataFrame, passed: Callable, roots: DataFrame, parts: int, piece: int) -> DataFrame:
     """Pairs (a, b), a < b, of classes of different ``roots`` (node, root) that may link, among the sets that ``passed`` gives."""
-    tokens = slim.mapInArrow(_tokens(passed, parts), blocks.schema(*_ROWS)).repartition(parts, "part")
-    counted = tokens.mapInArrow(_counted(parts), blocks.schema(*_ROWS)).repartition(parts, "part")
-    prefixes = counted.mapInArrow(_prefixes, "class long, n long, first long, tokens binary, bits binary")
+    tokens = slim.mapInArrow(lean(_tokens(passed, parts)), blocks.schema(*_ROWS)).repartition(parts, "part")
+    counted = tokens.mapInArrow(lean(_counted(parts)), blocks.schema(*_ROWS)).repartition(parts, "part")
+    prefixes = counted.mapInArrow(lean(_prefixes), "class long, n long, first long, tokens binary, bits binary")
     rooted = prefixes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    places = rooted.mapInArrow(_places(parts), blocks.schema(*_PLACES)).repartition(parts, "part")
-    return places.mapInArrow(_joined(piece), "a long, b long").distinct()
+    places = rooted.mapInArrow(lean(_places(parts)), blocks.schema(*_PLACES)).repartition(parts, "part")
+    return places.mapInArrow(lean(_joined(piece)), "a long, b long").distinct()

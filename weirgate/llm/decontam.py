@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.store import materialize, small_batches, texts
-from weirgate.llm.textkernel import ALNUM, chunks, text_bytes, windows, words
+from weirgate.llm.textkernel import ALNUM, chunks, lean, text_bytes, windows, words
 
 #: Words in a window.
 WINDOW = 10
@@ -151,7 +151,7 @@ def _counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
     if not len(vocabulary):
         return {}
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return {r.h % (1 << 64): r.n for r in rows.collect()}
 
 
@@ -168,9 +168,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for block in _blocks(benchmark, block_bytes) if benchmark is not None else ():
         index = Index(block, window)
         index.order(_counts(slim, index.vocabulary))
-        passes.append(slim.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema))
+        passes.append(slim.mapInArrow(lean(_scan(spark.sparkContext.broadcast(index))), schema))
     if not passes:
-        passes = [slim.mapInArrow(_scan(None), schema)]
+        passes = [slim.mapInArrow(lean(_scan(None)), schema)]
     if len(passes) == 1:
         return passes[0]
     # several blocks: the hit rows of the later passes are merged into those of the first
@@ -209,7 +209,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for block in _blocks(benchmark, block_bytes):
         index = Index(block, window)
         index.order(_counts(slim, index.vocabulary))
-        docs = small_batches(docs).mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = small_batches(docs).mapInArrow(lean(_keep(docs.sparkSession.sparkContext.broadcast(index))), docs.schema)
     return docs
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.store import keep_rows, materialize, row_hash, texts
-from weirgate.llm.textkernel import text_bytes
+from weirgate.llm.textkernel import lean, text_bytes
 
 #: Deleted before texts are compared.
 BLANKS = b" \t\n\v\f\r"
@@ -37,7 +37,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, row_hash, digest, length) of every row, stored once; null text counts as empty."""
     slim = texts(docs, row_hash().alias("row_hash"))
-    table = slim.mapInArrow(_digest, "doc_id long, row_hash long, digest binary, length long")
+    table = slim.mapInArrow(lean(_digest), "doc_id long, row_hash long, digest binary, length long")
     return materialize(table.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.store import small_batches, texts
+from weirgate.llm.textkernel import lean
 
 #: Buckets for trigrams, and labelled documents to learn from (a bound; a sample by hash beyond it).
 BUCKETS, MAX_TRAIN_DOCS = 1 << 16, 20_000
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, train: Column, max_train_docs: int = MAX_TRAIN_DOCS, bu
                     held[lang][2] += len(own)
         yield from give()
 
-    table = rows.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(lean(count), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique().tolist())
     counts = np.zeros((buckets, len(languages)))
     scripts = np.zeros((len(SCRIPTS), len(languages)))
@@ -255,7 +256,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], _SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
     slim = texts(docs)
-    return slim.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return slim.mapInArrow(lean(run), "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
@@ -268,4 +269,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.1) -> DataFr
             good = [lang != "und" and score >= least for lang, score, _ in label([t or "" for t in texts], shared.value)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.store import materialize, parts_for, plan_bytes, small_batches
-from weirgate.llm.textkernel import SPACED, U64, chunks, mix, text_bytes, words
+from weirgate.llm.textkernel import SPACED, U64, chunks, lean, mix, text_bytes, words
 
 #: The end of a text, as a token.
 END = np.uint64(0x6A09E667F3BCC909)
@@ -362,7 +362,7 @@ def score_documents(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES, max_
     slim = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     shard_bits = min(17, max(4, (parts_for(slim, 16 << 20) - 1).bit_length()))
     kept = key_bits(slim)
-    parts = materialize(slim.mapInArrow(_cut(block_bytes), _PARTS), "blocks")
-    counted = materialize(parts.mapInArrow(_asked(shard_bits, kept), _PARTS).groupBy("kind", "shard").applyInArrow(_count(max_filter_bytes), _PARTS), "counts")
+    parts = materialize(slim.mapInArrow(lean(_cut(block_bytes)), _PARTS), "blocks")
+    counted = materialize(parts.mapInArrow(lean(_asked(shard_bits, kept)), _PARTS).groupBy("kind", "shard").applyInArrow(_count(max_filter_bytes), _PARTS), "counts")
     figures = Figures(counted)
     return parts.unionByName(counted.where("kind > 3")).groupBy("block").applyInArrow(_score(figures, kept), _OUT)

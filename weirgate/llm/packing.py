@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.store import materialize, texts
+from weirgate.llm.textkernel import lean
 
 #: Tokens in a window, open windows for each partition, groups in the first merging round, and the id after a document.
 LENGTH, OPEN, GROUPS, CLOSING = 2048, 24, 64, 1
@@ -175,7 +176,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, open_windows: int = OP
     rows are packed each; an empty table gives an empty result; other columns are ignored.
     """
     slim = texts(docs)
-    done = materialize(slim.mapInArrow(_pack(tokenizer_path, length, open_windows), _SCHEMA).withColumn("part", F.spark_partition_id()), "packed")
+    done = materialize(slim.mapInArrow(lean(_pack(tokenizer_path, length, open_windows)), _SCHEMA).withColumn("part", F.spark_partition_id()), "packed")
     out, rest = done.where("sequence_id is not null"), done.where("sequence_id is null")
     first = rest.groupBy(F.pmod("part", F.lit(GROUPS)).cast("long").alias("g")).applyInArrow(_merge(length, 1 << 62, False), _SCHEMA)
     first = materialize(first.withColumn("part", F.spark_partition_id()), "packed")

@@ -31,7 +31,7 @@ from weirgate.llm import blocks
 from weirgate.llm.crowded import rare_prefix_pairs
 from weirgate.llm.graph import components, merge_components
 from weirgate.llm.store import heavy_join, keep_rows, materialize, parts_for, row_hash, texts
-from weirgate.llm.textkernel import SPACED, U64, chunks, mix, text_bytes, windows, words
+from weirgate.llm.textkernel import SPACED, U64, chunks, lean, mix, text_bytes, windows, words
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -489,7 +489,7 @@ class _Documents:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: first by short sets, which keep every link, then by whole ones."""
         degrees = materialize(_ends(pairs).groupBy("class").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-        sets = materialize(self.slim.mapInArrow(_needed(self.filter_for(degrees)), "class long, short binary, shingles binary"), "sets")
+        sets = materialize(self.slim.mapInArrow(lean(_needed(self.filter_for(degrees))), "class long, short binary, shingles binary"), "sets")
         wide = degrees.where("degree > 64").select("class", F.floor(F.col("degree") / 64).cast("int").alias("most"))
         near = materialize(_meet(pairs, wide, sets.select("class", F.col("short").alias("set")), _similar(self.percent, most_shared)), "near")
         whole = sets.select("class", F.col("shingles").alias("set")).join(_ends(near).distinct(), "class", "left_semi")
@@ -508,7 +508,7 @@ def _meet(pairs: DataFrame, wide: DataFrame, sets: DataFrame, check) -> DataFram
     dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.col("ma") + 1).cast("int").alias("salt"), F.pmod(F.xxhash64("a", F.lit(2)), F.col("mb") + 1).cast("int").alias("salt_b"))
     with_a = dealt.join(copies.select(F.col("class").alias("a"), "salt", F.col("set").alias("sa")), ["a", "salt"])
     with_b = with_a.join(copies.select(F.col("class").alias("b"), F.col("salt").alias("salt_b"), F.col("set").alias("sb")), ["b", "salt_b"])
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return with_b.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 4 << 20) -> DataFrame:
@@ -528,14 +528,14 @@ def _rows_of_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET
         raise ValueError("the bands are laid out for a similarity of 0.75 or more")
     slim = texts(docs)
     hashed = texts(docs, row_hash().alias("row_hash"))
-    table = materialize(hashed.mapInArrow(_classes, "doc_id long, row_hash long, n_shingles long, class long"), "classes")
+    table = materialize(hashed.mapInArrow(lean(_classes), "doc_id long, row_hash long, n_shingles long, class long"), "classes")
     first = materialize(table.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("d"))).alias("m")).select("class", F.col("m.d").alias("doc_id")), "first")
     parts = parts_for(slim, rows_bytes)
     fine = parts * max(1, -(-PART_NUMBERS // parts))  # many part numbers even out the tasks' load
-    rows = slim.mapInArrow(_signature_rows(fine, bucket), _HELD)
-    found = materialize(rows.repartition(parts, "part").mapInArrow(_collide(fine, bucket), _FOUND), "collisions")
+    rows = slim.mapInArrow(lean(_signature_rows(fine, bucket)), _HELD)
+    found = materialize(rows.repartition(parts, "part").mapInArrow(lean(_collide(fine, bucket)), _FOUND), "collisions")
     packed = found.where("part is not null").select("part", "leader", "class", "size", "many")
-    crowd = materialize(packed.repartition(parts, "part").mapInArrow(_crowded, "class long, size int, crowded long, leaders array<long>"), "crowded")
+    crowd = materialize(packed.repartition(parts, "part").mapInArrow(lean(_crowded), "class long, size int, crowded long, leaders array<long>"), "crowded")
     tallied = found.where("part is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # what a set may share in crowded signatures isn't counted there, so that much less is asked of it
     la, lb = (crowd.select(F.col("class").alias(x), F.col("crowded").alias(f"l{x}")) for x in "ab")

@@ -7,7 +7,8 @@ a hash with a probability of about 2**-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+#: Arrays from this size on are given back to the system when they are freed (glibc's option of that name is -3).
+_MMAP_THRESHOLD, MMAP_BYTES = -3, 4 << 20
+
+
+def lean(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``task`` for an Arrow stage, in a worker that keeps no freed memory while it works or waits for the next task."""
+
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(_MMAP_THRESHOLD, MMAP_BYTES)
+        except (OSError, AttributeError):  # another C library
+            libc = None
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return run
+
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 

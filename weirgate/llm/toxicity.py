@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.store import small_batches, texts
+from weirgate.llm.textkernel import lean
 
 #: Labelled rows to learn from (a bound; a sample by hash of the text beyond it), folds, and words in the learned lexicon.
 MAX_TRAIN_ROWS, FOLDS, LEXICON_WORDS = 16_000, 4, 400
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_T
             x = [features(a, shared.value[0][k]) for a, k in zip(t, f, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(f, pa.int32())], ["x", "y", "fold"])
 
-    got = sample.mapInArrow(describe, "x array<double>, y int, fold int").toPandas()
+    got = sample.mapInArrow(lean(describe), "x array<double>, y int, fold int").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(NAMES))
     y, fold = got["y"].to_numpy().astype(float), got["fold"].to_numpy()
     order = np.lexsort((*x.T, y, fold))  # the rows' order from Spark isn't fixed
@@ -274,4 +275,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, score double, predicted int")

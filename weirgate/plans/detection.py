@@ -149,8 +149,10 @@ def pii_card(spark, sf_dir):
     return content(spark, sf_dir).select("id", F.size(spans).cast("long").alias("n"), F.concat_ws(",", schemes).alias("cards"))
 
 
+# every character that may stand beside a number is doubled, so that two neighbours don't share their border
 PII_CARD = ROWS + r"""
-, v AS (SELECT id, list_transform(regexp_extract_all(text, '(?:^|[^0-9.])((?:[0-9][ -]?){12,18}[0-9])(?:$|[^0-9.])', 1), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS v FROM c),
+, w AS (SELECT id, regexp_replace(text, '([^0-9.])', '\1\1', 'g') AS text FROM c),
+v AS (SELECT id, list_transform(regexp_extract_all(text, '(?:^|[^0-9.])((?:[0-9](?:  |--)?){12,18}[0-9])(?:$|[^0-9.])', 1), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS v FROM w),
 s AS (SELECT id, list_filter(list_transform(v, lambda d: CASE
     WHEN regexp_matches(d, '^97[89]') THEN NULL
     WHEN list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN d[-i]::INT * 2 > 9 THEN d[-i]::INT * 2 - 9 ELSE d[-i]::INT * 2 END ELSE d[-i]::INT END)) % 10 <> 0 THEN NULL

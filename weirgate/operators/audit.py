@@ -14,13 +14,27 @@ from weirgate.session import ship
 GENESIS = "0" * 64
 
 
+#: A record's text with these slots filled is what its hash is taken of.
+PREV_SLOT, SEQ_SLOT = '"prevHash":""', '"seq":-1'
+
+
 def body(columns: list[str]):
-    """The canonical text of a record: a JSON object with its keys sorted; null fields are left out."""
-    return F.to_json(F.struct(*sorted(columns)))
+    """The canonical text of a record: a JSON object with its keys sorted, among them empty slots for ``prevHash`` and
+    ``seq``; null fields are left out. Fields may not have these two names."""
+    if {"prevHash", "seq"} & set(columns):
+        raise ValueError("prevHash and seq are set by the chain")
+    slots = {"prevHash": F.lit("").alias("prevHash"), "seq": F.lit(-1).alias("seq")}
+    return F.to_json(F.struct(*(slots.get(c, c) for c in sorted([*columns, *slots]))))
+
+
+def record_hash(text, seq, prev):
+    """The hash of a record: of its canonical text with its place and the hash before it."""
+    linked = F.replace(text, F.lit(PREV_SLOT), F.concat(F.lit('"prevHash":"'), prev, F.lit('"')))
+    return F.sha2(F.replace(linked, F.lit(SEQ_SLOT), F.concat(F.lit('"seq":'), seq.cast("string"))), 256)
 
 
-def record_hash(text, prev):
-    return F.sha2(F.concat_ws("\n", prev, text), 256)
+def _hash(text: str, seq: int, prev: str) -> str:
+    return hashlib.sha256(text.replace(PREV_SLOT, f'"prevHash":"{prev}"').replace(SEQ_SLOT, f'"seq":{seq}').encode()).hexdigest()
 
 
 def build_chain(records: DataFrame, chain: str, order: str, columns: list[str]) -> DataFrame:
@@ -37,9 +51,9 @@ def build_chain(records: DataFrame, chain: str, order: str, columns: list[str])
         own, last = None, GENESIS
         for frame in batches:
             prev, now = [], []
-            for c, text in zip(frame["chain"], frame["body"], strict=True):
+            for c, n, text in zip(frame["chain"], frame["seq"], frame["body"], strict=True):
                 p = last if c == own else GENESIS
-                own, last = c, hashlib.sha256(f"{p}\n{text}".encode()).hexdigest()
+                own, last = c, _hash(text, n, p)
                 prev.append(p)
                 now.append(last)
             yield pd.DataFrame({"chain": frame["chain"], "seq": frame["seq"], "body": frame["body"], "prev_hash": prev, "hash": now})
@@ -52,11 +66,11 @@ def verify_chain(log: DataFrame, chain: str = "chain", line: str = "line") -> Da
     """(chain, records, ok, at, reason): the first fault of each log, walked in the order of ``line``.
 
     Faults are a seq that isn't the place in the file, a prev_hash that isn't the hash before, or a hash that isn't the
-    record's own, checked in that order; everything is parallel after one sort.
+    record's own, checked in that order. Logs are checked side by side, each in one task after a sort.
     """
     w = Window.partitionBy(chain).orderBy(line)
     rows = log.withColumn("place", (F.row_number().over(w) - 1).cast("long")).withColumn("before", F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)))
-    reason = F.when(F.col("seq") != F.col("place"), "sequence").when(F.col("prev_hash") != F.col("before"), "link").when(F.col("hash") != record_hash(F.col("body"), F.col("prev_hash")), "hash")
+    reason = F.when(F.col("seq") != F.col("place"), "sequence").when(F.col("prev_hash") != F.col("before"), "link").when(F.col("hash") != record_hash(F.col("body"), F.col("seq"), F.col("prev_hash")), "hash")
     marked = rows.withColumn("reason", reason)
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct("place", "reason")))
     return marked.groupBy(chain).agg(F.count(F.lit(1)).alias("records"), first.alias("f")).select(chain, "records", F.col("f").isNull().alias("ok"), F.col("f.place").alias("at"), F.col("f.reason").alias("reason"))
@@ -103,9 +117,9 @@ def extend_chain(built: DataFrame, heads: DataFrame) -> DataFrame:
         chain, last = None, None
         for frame in batches:
             prev, now = [], []
-            for c, text, head in zip(frame["chain"], frame["body"], frame["head"], strict=True):
+            for c, n, text, head in zip(frame["chain"], frame["seq"] + frame["next"], frame["body"], frame["head"], strict=True):
                 p = last if c == chain else head
-                chain, last = c, hashlib.sha256(f"{p}\n{text}".encode()).hexdigest()
+                chain, last = c, _hash(text, n, p)
                 prev.append(p)
                 now.append(last)
             yield pd.DataFrame({"chain": frame["chain"], "seq": frame["seq"] + frame["next"], "body": frame["body"], "prev_hash": prev, "hash": now})

@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.session import ship
@@ -66,9 +66,12 @@ def hash_text(name, description, input_schema, annotations):
 
 
 def lock_servers(hashed: DataFrame) -> DataFrame:
-    """(server_name, tools, set_hash): how many, and the hash of the tools' hashes in the order advertised."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "hash"))), lambda x: F.concat_ws(":", x["name"], x["hash"]))
-    return hashed.groupBy("server_name").agg(F.count(F.lit(1)).alias("tools"), F.sha2(F.concat_ws("\n", ordered), 256).alias("set_hash"))
+    """(server_name, tools, set_hash): how many, and the hash of the JSON list of [name, hash] in the order advertised.
+
+    A server's catalogue is one row here; catalogues are small (they are sent in one answer).
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "hash"))), lambda x: F.to_json(F.array(x["name"], x["hash"])))
+    return hashed.groupBy("server_name").agg(F.count(F.lit(1)).alias("tools"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", ordered), F.lit("]")), 256).alias("set_hash"))
 
 
 def diff(pinned: DataFrame, current: DataFrame) -> DataFrame:
@@ -97,9 +100,14 @@ def page_walks(pages: DataFrame) -> DataFrame:
 
 
 def sticky_halt(checks: DataFrame) -> DataFrame:
-    """``checks`` (server_name, at, pin, matched) with ``halted``: a mismatch halts the server until its pin changes."""
-    w = Window.partitionBy("server_name", "pin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return checks.withColumn("halted", F.max((~F.col("matched")).cast("int")).over(w) == 1)
+    """``checks`` (server_name, at, pin, matched) with ``halted``: a mismatch halts the server until its pin changes.
+
+    The first mismatch of each pin is a minimum, combined before its shuffle, so a busy server is not sorted in one task.
+    Checks at the very time of the mismatch are halted; a null server or pin is one of its own.
+    """
+    halts = checks.where(~F.col("matched")).groupBy(F.col("server_name").alias("_server"), F.col("pin").alias("_pin")).agg(F.min("at").alias("_halt"))
+    joined = checks.join(halts, F.col("server_name").eqNullSafe(F.col("_server")) & F.col("pin").eqNullSafe(F.col("_pin")), "left")
+    return joined.withColumn("halted", F.coalesce(F.col("at") >= F.col("_halt"), F.lit(False))).drop("_server", "_pin", "_halt")
 
 
 def first_use(pinned, matched, on_first: str = "write", on_mismatch: str = "halt"):

@@ -149,7 +149,7 @@ def manifest_lock(spark, sf_dir):
     return manifest.lock_servers(manifest.hash_tools(_tools(spark, sf_dir, 0)))
 
 
-MANIFEST_LOCK = f"SELECT server_name, count(*) AS tools, sha256(string_agg(name || ':' || hash, chr(10) ORDER BY position, name, hash)) AS set_hash FROM ({_tools_sql(0)}) GROUP BY server_name"
+MANIFEST_LOCK = f"""SELECT server_name, count(*) AS tools, sha256('[' || string_agg('["' || name || '","' || hash || '"]', ',' ORDER BY position, name, hash) || ']') AS set_hash FROM ({_tools_sql(0)}) GROUP BY server_name"""
 
 
 def manifest_diff(spark, sf_dir):
@@ -175,9 +175,9 @@ def _chain(spark, sf_dir):
 
 
 _CHAIN_SQL = f"""WITH RECURSIVE {CALLS}, r AS (SELECT session_id::VARCHAR AS chain, row_number() OVER (PARTITION BY session_id ORDER BY call_id) - 1 AS seq,
-    '{{"at_ms":' || at_ms || ',"call_id":' || call_id || ',"tool_name":"' || tool_name || '"}}' AS body FROM calls),
-k AS (SELECT chain, seq, body, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || chr(10) || body) AS hash FROM r WHERE seq = 0
-  UNION ALL SELECT r.chain, r.seq, r.body, k.hash, sha256(k.hash || chr(10) || r.body) FROM k JOIN r ON r.chain = k.chain AND r.seq = k.seq + 1)"""
+    '{{"at_ms":' || at_ms || ',"call_id":' || call_id || ',"prevHash":"' AS before, ',"tool_name":"' || tool_name || '"}}' AS after FROM calls),
+k AS (SELECT chain, seq, repeat('0', 64) AS prev_hash, sha256(before || repeat('0', 64) || '","seq":' || seq || after) AS hash FROM r WHERE seq = 0
+  UNION ALL SELECT r.chain, r.seq, k.hash, sha256(r.before || k.hash || '","seq":' || r.seq || r.after) FROM k JOIN r ON r.chain = k.chain AND r.seq = k.seq + 1)"""
 
 
 def audit_build(spark, sf_dir):
@@ -287,10 +287,11 @@ SELECT kind, count(*) FILTER (s < 40) AS truth, count(*) FILTER (s > 10 AND s <
 
 
 def telemetry_records(spark, sf_dir):
-    return calls(spark, sf_dir).select("call_id", F.sha2(exports.otlp_record(F.col("at_ms"), F.lit("tool_call"), {"server": F.col("server_name"), "tool": F.col("tool_name")}), 256).alias("record"), exports.syslog_line(13, F.lit("weirgate"), F.col("at_ms"), F.concat_ws(" ", "server_name", "tool_name"), 80).alias("line"))
+    record = exports.otlp_record(F.col("at_ms"), F.lit("tool.call"), F.lit("tool_call"), {"server": F.col("server_name"), "tool": F.col("tool_name"), "call": F.col("call_id")}, F.col("call_id") % 3 == 0, ("call",))
+    return calls(spark, sf_dir).select("call_id", F.sha2(record, 256).alias("record"), exports.syslog_line(13, F.lit("weirgate"), F.col("at_ms"), F.concat_ws(" ", "server_name", "tool_name"), 80).alias("line"))
 
 
-TELEMETRY_RECORDS = f"""WITH {CALLS} SELECT call_id, sha256('{{"timeUnixNano":"' || at_ms * 1000000 || '","body":{{"stringValue":"tool_call"}},"attributes":[{{"key":"server","value":{{"stringValue":"' || server_name || '"}}}},{{"key":"tool","value":{{"stringValue":"' || tool_name || '"}}}}]}}') AS record,
+TELEMETRY_RECORDS = f"""WITH {CALLS} SELECT call_id, sha256('{{"timeUnixNano":"' || at_ms * 1000000 || '","severityNumber":' || CASE WHEN call_id % 3 = 0 THEN '13,"severityText":"WARN"' ELSE '9,"severityText":"INFO"' END || ',"eventName":"tool.call","body":{{"stringValue":"tool_call"}},"attributes":[{{"key":"server","value":{{"stringValue":"' || server_name || '"}}}},{{"key":"tool","value":{{"stringValue":"' || tool_name || '"}}}},{{"key":"call","value":{{"intValue":' || call_id || '}}}}]}}') AS record,
   ('<13>1 ' || strftime(make_timestamp_ms(at_ms), '%Y-%m-%dT%H:%M:%S.') || lpad((at_ms % 1000)::VARCHAR, 3, '0') || 'Z - weirgate - - - ' || server_name || ' ' || tool_name)[1:80] AS line FROM calls"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +30,42 @@ def result_texts(results: DataFrame, result: str = "result") -> DataFrame:
 
 
 def replace_texts(result: Column, texts: Column) -> Column:
-    """The result with the text of each text block replaced; ``texts`` is a map from place to new text."""
-    blocks = F.from_json(F.get_json_object(result, "$.content"), CONTENT)
-    new = F.transform(blocks, lambda b, i: F.struct(b["type"].alias("type"), F.coalesce(texts[i], b["text"]).alias("text")))
-    return F.to_json(F.struct(new.alias("content")))
+    """The result with the text of each text block replaced; ``texts`` is a map from place to new text.
+
+    All else is carried through as it is: other blocks, other fields of a block and of the result. Blocks are those of
+    ``content``, else of ``contents``; a result with neither list, or that isn't JSON, comes back unchanged.
+    """
+
+    @F.pandas_udf("string")
+    def replaced(results: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([_replace(r, {e["key"]: e["value"] for e in n} if n is not None else {}) for r, n in zip(results, new, strict=True)])
+
+    return replaced(result, F.map_entries(F.transform_keys(texts, lambda k, _: k.cast("string"))))
+
+
+def _replace(text: str | None, new: dict[str, str]) -> str | None:
+    try:
+        result = json.loads(text or "")
+    except ValueError:
+        return text
+    key = next((k for k in ("content", "contents") if isinstance(result, dict) and isinstance(result.get(k), list)), None)
+    if key is None:
+        return text
+    for place, block in enumerate(result[key]):
+        whole = isinstance(block, dict) and block.get("type") == "text" and isinstance(block.get("text"), str)
+        if whole and new.get(str(place)) is not None:
+            block["text"] = new[str(place)]
+    return json.dumps(result, ensure_ascii=False, separators=(",", ":"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """An audit log of JSON lines with the line number as ``line``; blank lines are dropped, a bad one fails.
 
-    Spark keeps no order of lines across splits, so each file is read whole and split.
+    Files are read in splits: a line's number is where its split begins in the file, then its place among the rows that
+    the split's task reads, so it grows along the file but has gaps.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where("trim(text) <> ''")
+    place = F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(11,0)") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text")).where("trim(text) <> ''")
     return rows.select("file", "line", F.from_json("text", RECORD, {"mode": "FAILFAST"}).alias("r")).select("file", "line", "r.*")
 
 

@@ -19,6 +19,9 @@ RTL = r"[\x{0590}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 COMPLEX = r"[\x{0600}-\x{06FF}\x{0900}-\x{0DFF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 PICTURE = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}]"
 
+#: Any character that a hidden-character rule looks at.
+HIDDEN = r"[\x{E0000}-\x{E007F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{00AD}]"
+
 FENCE = r"(?s)```.*?```|~~~.*?~~~"
 INLINE = r"`[^`\n]+`"
 COMMENT = r"(?s)<!--.*?-->"
@@ -44,6 +47,15 @@ def byte_length(c: Column) -> Column:
     return F.octet_length(c).cast("long")
 
 
+def sampled(c: Column, most: int) -> Column:
+    """Head and tail, a line break between them, of a text of more than ``most`` UTF-8 bytes; at most that many together."""
+    half = (most - 1) // 2
+    raw = F.encode(c, "UTF-8")
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, half).cast("string")), "\uFFFD+$", "")
+    tail = F.regexp_replace(F.make_valid_utf8(F.substring(raw, -half, half).cast("string")), "^\uFFFD+", "")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(head, F.lit("\n"), tail))
+
+
 def _total(c: Column, pattern: str) -> Column:
     return F.aggregate(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(0), lambda n, m: n + F.length(m))
 
@@ -52,12 +64,18 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
+def _if_has(gate: Column, figure: Column) -> Column:
+    """``figure`` where a cheap necessary condition holds, else 0; null stays null."""
+    return F.when(~gate, F.lit(0)).otherwise(figure)
+
+
 def shape(c: Column) -> Column:
     """struct(headings, code_chars, comments, doc_like). Inline code counts outside fences only, as does a fence's end."""
-    rest = F.regexp_replace(c, FENCE, "\n")
-    code = (_total(c, FENCE) + _total(rest, INLINE)).cast("long")
-    headings = count(c, HEADING)
-    return F.struct(headings.alias("headings"), code.alias("code_chars"), count(c, COMMENT).alias("comments"), ((headings >= 3) | (code * 4 > F.length(c))).alias("doc_like"))
+    fenced = c.contains("```") | c.contains("~~~")
+    rest = F.when(fenced, F.regexp_replace(c, FENCE, "\n")).otherwise(c)
+    code = (_if_has(fenced, _total(c, FENCE)) + _if_has(c.contains("`"), _total(rest, INLINE))).cast("long")
+    headings = _if_has(c.contains("#"), count(c, HEADING))
+    return F.struct(headings.alias("headings"), code.alias("code_chars"), _if_has(c.contains("<!--"), count(c, COMMENT)).alias("comments"), ((headings >= 3) | (code * 4 > F.length(c))).alias("doc_like"))
 
 
 def hidden(c: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirgate.session import spread
+
 KINDS = ["tool_result", "resource", "tool_description"]
 _TAG = "".join(chr(0xE0000 + ord(c)) for c in "run")
 
@@ -34,7 +36,7 @@ PAYLOADS = [
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     payload = F.element_at(F.array(*map(F.lit, PAYLOADS)), (F.pmod("doc_id", F.lit(len(PAYLOADS))) + 1).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod("doc_id", F.lit(len(KINDS))) + 1).cast("int"))
     return docs.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"), "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), payload).alias("text"), kind.alias("kind"))

@@ -294,9 +294,9 @@ SELECT call, (['allow', 'flag', 'strip', 'block'])[max(r)] AS action, count(*) A
 def verdict_summary(spark, sf_dir):
     """Texts by kind and action, from the native detectors."""
     c = content(spark, sf_dir).withColumn("doc_like", X.shape(F.col("text"))["doc_like"])
-    found = c.select("id", "kind", "doc_like", F.explode_outer(detect.native_findings(F.col("text"), F.col("kind"), F.col("doc_like"))).alias("f"))
-    hits = found.where("f is not null").select("id", "doc_like", "f.*")
-    verdicts = c.select("id", "kind").join(score.combine(hits, ["id"]), "id", "left").withColumn("action", score.decide(F.coalesce("score", F.lit(0)), F.coalesce("corroborated", F.lit(False)), F.lit(False)))
+    found = c.select("kind", "doc_like", detect.native_findings(F.col("text"), F.col("kind"), F.col("doc_like")).alias("findings"))
+    scored = found.select("kind", score.combine_array(F.col("findings"), F.col("doc_like")).alias("v"))
+    verdicts = scored.select("kind", score.decide(F.col("v.score"), F.col("v.corroborated"), F.lit(False)).alias("action"))
     return verdicts.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -313,7 +313,7 @@ def kernel_identifiers(spark, sf_dir):
 
 def kernel_verdicts(spark, sf_dir):
     """Verdicts from all detectors together."""
-    return kernel.verdicts(content(spark, sf_dir), action="block")
+    return kernel.verdicts(content(spark, sf_dir), action="block").select("id", "score", "families", "corroborated", "action", "degraded")
 
 
 def queries() -> dict:

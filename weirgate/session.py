@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,15 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _SHIPPED.add(app)
     return spark
+
+
+#: Bytes that a core reads at once, as Spark's splits.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` over all cores if it has less than a split for each (a small file may be one row group,
+    which one core would read and scan alone); larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, key) if size < cores * SPLIT_BYTES else df

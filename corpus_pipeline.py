@@ -15,27 +15,27 @@ from weirgate.llm.queries import remainder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found."""
+    """Drops documents in which no language is found: null texts and texts without a letter too. Repeated rows go together."""
     return langid.keep_identified(docs, langid.fit(docs, remainder(3) != 1))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of texts that are identical but for blanks."""
+    """Keeps one of each group of texts that are identical but for blanks: the longest, then the smallest doc_id (null first)."""
     return dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates."""
+    """Keeps one document of each component of near duplicates: the smallest doc_id (null first). Texts without words stay."""
     return setjoin.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
+    """Drops documents in which a benchmark window occurs. Texts without words stay, and all rows if the benchmark is empty."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into training sequences; one row for each piece."""
+    """Packs the documents into training sequences; one row for each piece. A null text is empty: its closing id alone."""
     return packing.pack_documents(docs)
 
 
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each result written to the shared folder and read again."""
+    """The stages applied to ``documents``, each result written to the shared folder and read again.
+
+    An empty table goes through all stages and gives no piece. Extra columns are carried to the last stage, whatever their
+    names.
+    """
     docs = table(spark, sf_dir, "documents")
     root = f"{store.checkpoint_root(spark)}/weirgate/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:

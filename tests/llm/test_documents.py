@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures
-from weirgate.llm import decontam, dedup, graph, lmscore, packing, setjoin
+from weirgate.llm import decontam, dedup, graph, lmscore, packing, setjoin, store
 from weirgate.llm.textkernel import lower_ascii
 from weirgate.llm.wordbpe import WordBpe
 
@@ -312,3 +312,54 @@ def test_components_by_one_task_and_by_all(spark):
     half, rest = table.where("pmod(xxhash64(a, b), 2) = 0"), table.where("pmod(xxhash64(a, b), 2) = 1")
     merged = graph.merge_components(graph.components(half), rest)
     assert {r.node: r.root for r in merged.collect()} == want
+
+
+CLASHING = "doc_id int, text string, hash_of_row string, KEY_of_row int, text_of_row int, mark_of_row boolean, _hash int, stays int, `a.b` int, uid int"
+
+
+def clashing(spark):
+    near = fixtures.prose(11, 60)
+    texts = ["same text here", "same  text here ", near, near + " more", None, "", "one word more", "one word more", "!!!"]
+    ids = [3, 4, 5, 6, 7, 8, 9, 9, None]
+    rows = [(i, t, f"h{k}", k, k, True, k, k, k, k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, CLASHING).repartition(3), rows
+
+
+def test_kept_rows_come_whole_whatever_their_columns_are_called(spark):
+    table, rows = clashing(spark)
+    for kept, want in ((dedup.drop_copies(table), {"h1", "h2", "h3", "h4", "h8"}), (setjoin.one_of_each(table), {"h0", "h2", "h4", "h5", "h8"})):
+        assert kept.columns == table.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert set(got) <= set(rows) and len(got) == len(want) + 1  # and one of the repeated rows
+        assert {r[2] for r in got} - {"h6", "h7"} == want
+
+
+def test_rows_are_kept_alike_by_broadcast_and_by_shuffle(spark):
+    hot = [(1, "hot", k) for k in range(300)] + [(k, f"t{k % 40}", k) for k in range(2, 90)] + [(None, None, 0), (None, None, 1)]
+    table = spark.createDataFrame(hot, "doc_id long, text string, extra int").repartition(4)
+    decided = table.select("doc_id", store.row_hash().alias("row_hash"), (F.coalesce("doc_id", F.lit(0)) % 3 != 2).alias("stays"))
+    few, many = (sorted(map(tuple, store.keep_rows(table, decided, most).collect()), key=str) for most in (1 << 20, 0))
+    assert few == many
+    assert sorted((r[0] or 0, r[1] or "") for r in few) == sorted({(d or 0, t or "") for d, t, _ in hot if (d or 0) % 3 != 2})
+
+
+def test_crowded_groups_match_all_pairs(spark):
+    base, passage = fixtures.prose(21, 90, 4000).split(), fixtures.prose(22, 60, 4000)
+    rows = []
+    for i in range(160):  # from near copies to loose ones
+        own = list(base)
+        for j in range(i // 16):
+            own[(i * 7 + j * 9) % 90] = f"edit{i}x{j}"
+        rows.append((i, " ".join(own[: 90 - (i % 5) * 4]), "en", "s", None, True, "x"))
+    rows += [(1000 + i, f"{passage} {fixtures.prose(500 + i, 14 + i % 30, 4000)}", "en", "s", None, True, "x") for i in range(120)]
+    table = spark.createDataFrame(rows, fixtures.SCHEMA).repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in setjoin.jaccard_components(table, bucket=8, rows_bytes=1 << 15).collect())
+    assert got == components(rows)
+
+
+def test_empty_tables_of_filters(spark):
+    empty = fixtures.empty(spark)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert dedup.drop_copies(empty).collect() == setjoin.one_of_each(empty).collect() == decontam.clean_documents(empty, bench).collect() == []
+    table, rows = clashing(spark)
+    assert decontam.clean_documents(table, bench).count() == len(rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import fixtures
-from weirgate.llm import langid, queries, toxicity
+from weirgate.llm import langid, queries, toxicity, urlfilter
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
@@ -129,3 +129,20 @@ def test_the_pipeline_applies_its_stages_in_turn(spark):
         left = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in left.select("doc_id").collect()}
+
+
+def test_empty_tables_of_models(spark, model, tmp_path):
+    empty = fixtures.empty(spark)
+    assert langid.identify(empty, model).collect() == langid.keep_identified(empty, model).collect() == []
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score(empty, toxicity.fit(empty, labels, F.lit(True))).collect() == []
+    assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string"), [("block", "com", "/")], spark.createDataFrame([], "url string")).collect() == []
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_without_letters_go_whatever_the_columns_are_called(spark, model):
+    rows = [(1, "the house is on the hill and we walk there", 5, "x"), (2, None, 6, "y"), (3, "123 !!", 7, "z"), (4, "", 8, None)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, score int, lang_pred string")
+    assert [tuple(r) for r in langid.keep_identified(table, model).collect()] == rows[:1]

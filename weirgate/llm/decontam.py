@@ -204,7 +204,11 @@ def _scan(shared):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns; nothing is shuffled.
+
+    Null and wordless texts have no window and stay; items without words match nothing, so an empty benchmark keeps every
+    row. Repeated rows stay or go together; column names may be any; an empty table gives an empty result.
+    """
     slim = docs.select(F.col("text").cast("string").alias("text"))
     for block in _blocks(benchmark, block_bytes):
         index = Index(block, window)

@@ -260,7 +260,11 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with all their columns.
+
+    Null texts and texts without a letter go, as does everything when nothing was learned. Repeated rows stay or go
+    together; column names may be any; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,10 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
 
 
 def sanitised_text(text: Column, spans: Column) -> Column:
-    """The text with base values and removed terms replaced by their kind, and generalised terms by a neutral word."""
+    """The text with base values and removed terms replaced by their kind, and generalised terms by a neutral word.
+
+    ``spans`` are those of :func:`sanitise` for the same text. Without spans the text comes back as it is; of spans that
+    begin together the shorter one counts; a null text stays null.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["action"].alias("action"))))
     return S.replace(text, ordered, lambda s: F.when(s["action"] == "generalise", "something").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))

@@ -193,6 +193,24 @@ SELECT id, array_to_string(list_sort(list_concat(
   CASE WHEN regexp_matches(text, {quoted(_TOOL_SQL[0])}) OR regexp_matches(text, {quoted(_TOOL_SQL[1])}) THEN ['exfil.tool-invocation:640'] ELSE [] END)), ',') AS findings FROM c"""
 
 
+def unicode_detector(spark, sf_dir):
+    """Tag characters, direction controls and dense zero-width characters."""
+    return content(spark, sf_dir).select("id", _ids(detect.unicode_findings(F.col("text"))).alias("findings"))
+
+
+# pictures are doubled, so that a joiner's two neighbours are its own
+UNICODE_DETECTOR = ROWS + f"""
+, h AS (SELECT id, {_count_sql(X.TAGS)} AS tags, {_count_sql(X.BIDI)} AS bidi, {_count_sql(chr(91) + "\\x{202D}\\x{202E}]")} AS overrides,
+  {_count_sql("[\\x{202A}\\x{202B}\\x{202D}\\x{202E}\\x{2066}-\\x{2068}]")} - {_count_sql("[\\x{202C}\\x{2069}]")} AS depth, regexp_matches(text, {quoted(X.RTL)}) AS rtl,
+  {_count_sql(X.ZERO_WIDTH)} - (regexp_matches(text, {quoted("^\\x{FEFF}")})::INT
+    + len(regexp_extract_all(regexp_replace(text, {quoted(f"({X.PICTURE})")}, '\\1\\1', 'g'), {quoted(X.PICTURE + "\\x{200D}" + X.PICTURE)}))
+    + len(regexp_extract_all(text, {quoted(X.COMPLEX + X.ZERO_WIDTH)}))) AS bad FROM c)
+SELECT id, array_to_string(list_sort(list_concat(
+  CASE WHEN tags > 0 THEN ['unicode.tag-block:950'] ELSE [] END,
+  CASE WHEN bidi > 0 AND (overrides > 0 AND NOT rtl OR depth <> 0) THEN ['unicode.bidi-override:720'] ELSE [] END,
+  CASE WHEN bad >= 8 THEN ['unicode.zero-width-density:680'] WHEN bad >= 4 THEN ['unicode.zero-width-density:420'] ELSE [] END)), ',') AS findings FROM h"""
+
+
 def frame_detector(spark, sf_dir):
     return content(spark, sf_dir).select("id", _ids(detect.frame_findings(F.col("text"), F.col("id").endswith("7"))).alias("findings"))
 
@@ -317,7 +335,7 @@ def kernel_verdicts(spark, sf_dir):
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (text_shape, fold_skeleton, hidden_characters, fnv_split, mask_email, pii_card, gs1_check, exfil_detector, frame_detector, anomaly_detector, literal_rules, score_combine, decide_actions, worst_action, verdict_summary, kernel_findings, kernel_identifiers, kernel_verdicts)}
+    out = {f.__name__: f for f in (text_shape, fold_skeleton, hidden_characters, fnv_split, mask_email, pii_card, gs1_check, unicode_detector, exfil_detector, frame_detector, anomaly_detector, literal_rules, score_combine, decide_actions, worst_action, verdict_summary, kernel_findings, kernel_identifiers, kernel_verdicts)}
     return out | {f"pii_{k}": _identifier(k) for k in ("tckn", "vkn", "iban", "email", "ssn_us", "mbi_us", "atc", "phone")}
 
 

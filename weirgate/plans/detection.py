@@ -318,6 +318,24 @@ def verdict_summary(spark, sf_dir):
     return verdicts.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("items"))
 
 
+_CAPS = "CASE family " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in data.FAMILY_CAPS.items()) + " ELSE 1000 END"
+_DAMPED = ", ".join(map(quoted, data.DAMPED_FAMILIES))
+VERDICT_SUMMARY = f"""
+WITH d AS (SELECT id, doc_like FROM ({TEXT_SHAPE})), k AS ({ROWS} SELECT id, kind FROM c),
+fr AS ({ROWS} SELECT c.id, {_FRAMES} AS n, doc_like FROM c JOIN d USING (id)),
+every AS (SELECT id, findings FROM ({UNICODE_DETECTOR}) UNION ALL SELECT id, findings FROM ({EXFIL_DETECTOR}) UNION ALL SELECT id, findings FROM ({ANOMALY_DETECTOR})
+  UNION ALL SELECT id, findings FROM ({LITERAL_RULES})
+  UNION ALL SELECT id, CASE WHEN n >= 2 THEN 'frame.role-injection:600' WHEN n = 1 AND NOT doc_like THEN 'frame.role-injection:380' ELSE '' END FROM fr),
+f AS (SELECT id, unnest(string_split(findings, ',')) AS r FROM every WHERE findings <> ''),
+rules AS (SELECT id, string_split(r, ':')[1] AS rule, max(string_split(r, ':')[2]::INT) AS weight FROM f GROUP BY ALL),
+families AS (SELECT id, CASE WHEN rule LIKE 'inj.%' THEN 'signature' ELSE string_split(rule, '.')[1] END AS family, list(weight ORDER BY rule) AS w FROM rules GROUP BY ALL),
+weighed AS (SELECT id, family, least({_CAPS}, CASE WHEN doc_like AND family IN ({_DAMPED}) THEN list_max(w) * {data.DOC_DAMPING} // 1000
+  ELSE 1000 - list_reduce(list_prepend(1000, w), lambda r, x: r * (1000 - x) // 1000) END) AS weight FROM families JOIN d USING (id)),
+scored AS (SELECT id, (1005 - list_reduce(list_prepend(1000, list(weight ORDER BY family)), lambda r, x: r * (1000 - x) // 1000)) // 10 AS score, count(*) >= 2 AS corroborated FROM weighed GROUP BY id),
+v AS (SELECT kind, CASE WHEN score >= 70 AND corroborated THEN 'block' WHEN score >= 40 THEN 'flag' ELSE 'allow' END AS action FROM k LEFT JOIN scored USING (id))
+SELECT kind, action, count(*) AS items FROM v GROUP BY ALL"""
+
+
 def kernel_findings(spark, sf_dir):
     """Findings of the sequential matchers by family and rule."""
     found = kernel.scan(content(spark, sf_dir)).select("id", F.explode("findings").alias("f"))

@@ -313,8 +313,9 @@ def verdict_summary(spark, sf_dir):
     """Texts by kind and action, from the native detectors."""
     c = content(spark, sf_dir).withColumn("doc_like", X.shape(F.col("text"))["doc_like"])
     found = c.select("kind", "doc_like", detect.native_findings(F.col("text"), F.col("kind"), F.col("doc_like")).alias("findings"))
-    scored = found.select("kind", score.combine_array(F.col("findings"), F.col("doc_like")).alias("v"))
-    verdicts = scored.select("kind", score.decide(F.col("v.score"), F.col("v.corroborated"), F.lit(False)).alias("action"))
+    # a generator's fields are made once; those of a struct would be made anew for each use
+    scored = found.select("kind", F.inline(F.array(score.combine_array(F.col("findings"), F.col("doc_like")))))
+    verdicts = scored.select("kind", score.decide(F.col("score"), F.col("corroborated"), F.lit(False)).alias("action"))
     return verdicts.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("items"))
 
 

@@ -104,6 +104,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
 
 
+#: Stands for a null doc_id within blocks.
+NO_ID = -(1 << 63)
 _PARTS = "kind int, block long, shard int, rows int, blob binary, ids binary"
 
 
@@ -347,7 +349,7 @@ def _score(figures: Figures, bits: int):
         logs = np.log10((counts + 1) / (figures.tokens + figures.types + 1))[spot]
         base = np.add.reduceat(logs, first[:-1])
         known = np.add.reduceat((counts > 0)[spot].astype(np.int64), first[:-1])
-        return pa.table([np.frombuffer(ids, np.int64), train, n, known, np.full(len(n), figures.tokens), base, figures.score(levels[4], spot, first, at, levels[5][back])], names=[x.split()[0] for x in _OUT.split(", ")])
+        return pa.table([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(ids, np.int64) == NO_ID), train, n, known, np.full(len(n), figures.tokens), base, figures.score(levels[4], spot, first, at, levels[5][back])], names=[x.split()[0] for x in _OUT.split(", ")])
 
     return score
 
@@ -356,10 +358,10 @@ def score_documents(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES, max_
     """One row for each row of ``docs`` (in ``_OUT``); ``train`` is a condition on its columns.
 
     Tokens are words between blanks, A-Z in lower case, and one end of text. A null text is empty (its end
-    remains); a null doc_id is shown as 0; repeated rows count as often as they occur; with no training row
+    remains); a null doc_id stays null (so does the smallest long); repeated rows count as often as they occur; with no training row
     every token is unknown; an empty table gives an empty result. Other columns are ignored.
     """
-    slim = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
+    slim = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     shard_bits = min(17, max(4, (parts_for(slim, 16 << 20) - 1).bit_length()))
     kept = key_bits(slim)
     parts = materialize(slim.mapInArrow(lean(_cut(block_bytes)), _PARTS), "blocks")

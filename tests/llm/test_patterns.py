@@ -89,6 +89,13 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert ("vendor", "live") in got[20] and got[30] == []
 
 
+def test_disclosing_terms_beyond_the_broadcast_bound_are_the_same(spark):
+    rows = [(i, f"{['Marlow', 'Quillon'][i % 2]} met {fixtures.prose(i, 9)} and wrote {'ab'[i % 2]}@x{i % 2}.org {fixtures.prose(50 + i, 8)}") for i in range(12)]
+    docs = spark.createDataFrame([*rows, (20, "Marlow alone"), (21, None)], "doc_id long, text string")
+    near, far = ([tuple(map(str, r)) for r in pii.sanitise(docs, most=n).orderBy("doc_id").collect()] for n in (1 << 20, 0))
+    assert near == far and any("marlow" in r[2] for r in near)
+
+
 def test_secrets_and_pii_of_odd_tables(spark):
     docs = fixtures.documents(spark)
     n = docs.count()

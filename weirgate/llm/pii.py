@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm import spans as S
-from weirgate.llm.store import heavy_join, materialize
+from weirgate.llm.store import BROADCAST_KEYS, heavy_join, materialize
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "term"]
@@ -115,11 +115,12 @@ def _pairs(mine: DataFrame, some: DataFrame) -> DataFrame:
     return near.select("entity", F.explode(F.concat(beyond, beside, contexts)).alias("t")).select("entity", "t.*")
 
 
-def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, most: int = BROADCAST_KEYS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, base (base spans), spans (those and ``term`` spans), actions (one for each span).
 
     A null text is empty; an entity that every row has carries no information and discloses nothing; repeated rows get
-    equal answers; an empty table gives an empty result; other columns are ignored.
+    equal answers; an empty table gives an empty result; other columns are ignored. Disclosing terms are broadcast while
+    there are at most ``most``; more meet the texts' terms in a shuffle join.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = slim.withColumn("base", base_spans(F.col("text")))
@@ -129,7 +130,7 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     table = materialize(found.select("doc_id", "base", "clean", around.alias("places")).withColumn("uid", F.monotonically_increasing_id()), "pii")
     total = table.count()
     some = table.where(has)
-    words = materialize(table.select("uid", F.explode(terms_of(F.col("clean"))).alias("term")), "terms")
+    words = table.select("uid", F.explode(terms_of(F.col("clean"))).alias("term"))
     each = some.select("uid", F.explode("places").alias("p")).select("uid", "p.*")
     mine = materialize(each.groupBy("uid", "entity").agg(F.sort_array(F.collect_set(F.struct("context", "terms"))).alias("places")), "places")
     # an entity without several contexts has no term with them
@@ -144,7 +145,10 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     shown = F.log2(F.col("n_pair") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
     action = F.when(shown >= remove * content, "remove").when(shown >= generalise * content, "generalise")
     flagged = materialize(counted.select("term", action.alias("action")).where("action is not null").groupBy("term").agg(F.max("action").alias("action")), "disclosing")
-    hits = heavy_join(words, flagged, "term")
+    if flagged.count() <= most:
+        hits = words.join(F.broadcast(flagged), "term")
+    else:
+        hits = heavy_join(materialize(words, "terms"), flagged, "term")
     actions = hits.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
     based = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit("remove").alias("action")))
     marked = F.when(F.col("actions").isNotNull(), occurrences(F.col("clean"), F.col("actions"))).otherwise(F.array().cast(_SPANS))

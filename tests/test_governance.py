@@ -9,6 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weirgate.functions import spans as S
+from weirgate.functions import text as T
 from weirgate.functions.text import duration_ms
 from weirgate.operators import audit, judge, manifest, policy, sessions
 from weirgate.sources import exports, files
@@ -136,3 +138,21 @@ def test_policy_files():
     assert p.tools[0].roles == ("r",) and p.combinations[0].window_ms == 30_000
     with pytest.raises(ValueError):
         files.parse_policy('{"tool": []}')
+
+
+def test_display_quotes_are_json_without_unsafe_characters(spark):
+    texts = ["", "plain é 日本", 'a"b\\c', "\b\t\n\f\r\x00\x1f\x7f\x85", "‮abc​  ­", "\U000e0041\U0001f600", "\\u202e"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.display_quoted(F.col("t")).alias("q")).collect()
+    assert all(json.loads(r.q) == r.t for r in got)
+    assert [r.q for r in got][3:6] == ['"\\b\\t\\n\\f\\r\\u0000\\u001f\\u007f\\u0085"', '"\\u202eabc\\u200b\\u2028\\u2029\\u00ad"', '"\\udb40\\udc41\U0001f600"']
+    assert spark.range(1).select(T.display_quoted(F.lit(None).cast("string")).alias("q")).first().q is None
+
+
+def test_names_and_spans_within(spark):
+    row = spark.range(1)
+    one = lambda c: row.select(c.alias("c")).first().c
+    named = policy.Policy(servers={"a": []}, combinations=(policy.Combination("c", ("x*", "y*"), action="flag"),))
+    assert [one(policy.server_name_check(F.lit(s), p, e)) for s, p, e in (("a", named, True), ("b", named, True), ("b", named, False), (None, named, True), ("b", policy.Policy(), True))] == ["ok", "error", "event", "error", "ok"]
+    assert [one(policy.name_too_long(F.lit(t), named)) for t in ("x" * 4096, "x" * 4097, "\U0001f600" * 2049)] == [None, "flag", "flag"]
+    spans = F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("end")))
+    assert [one(S.within(F.lit(a), F.lit(b), spans)) for a, b in ((2, 5), (3, 4), (1, 4), (4, 6))] == [True, True, False, False]

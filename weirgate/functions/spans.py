@@ -69,3 +69,8 @@ def replace(text: Column, spans: Column, by) -> Column:
         return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), grown.alias("out"))).otherwise(state)
 
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def within(start: Column, end: Column, spans: Column) -> Column:
+    """Whether a span lies fully inside one of ``spans``."""
+    return F.exists(spans, lambda s: (start >= s["start"]) & (end <= s["end"]))

@@ -108,3 +108,18 @@ def duration_ms(text: str) -> int:
 def mime_of(path: Column) -> Column:
     """The mime type that a file name's ending stands for."""
     return F.when(path.endswith(".md"), "text/markdown").when(path.endswith(".json"), "application/json").when(path.endswith(".html"), "text/html").otherwise("text/plain")
+
+
+#: Characters that aren't shown as they are, and those with a short escape in JSON.
+UNSAFE = r"[\p{Cc}\p{Cf}\x{2028}\x{2029}]"
+SHORT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def display_quoted(c: Column) -> Column:
+    """A JSON string that is safe to print: control, format and separator characters are written as UTF-16 escapes."""
+    quoted = c
+    for plain, escaped in SHORT_ESCAPES.items():
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    kinds = F.array_distinct(F.regexp_extract_all(quoted, F.lit(UNSAFE), F.lit(0)))
+    return F.concat(F.lit('"'), F.aggregate(kinds, quoted, lambda s, ch: F.replace(s, ch, units(ch))), F.lit('"'))

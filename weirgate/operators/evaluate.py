@@ -64,3 +64,19 @@ def score_bands(rows: DataFrame) -> DataFrame:
     s = F.col("score")
     band = F.when(s == 0, "0").when(s < 20, "1-19").when(s < 40, "20-39").when(s < 70, "40-69").otherwise("70+")
     return rows.groupBy(band.alias("band"), "corroborated").agg(F.count(F.lit(1)).alias("items"))
+
+
+#: The places of a latency summary.
+LATENCY = {"min": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "max": 1.0}
+
+
+def latency_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key n, min, mean, p50, p95, p99 and max of ``value``."""
+    return nearest_rank(rows, keys, value, LATENCY).join(rows.groupBy(*keys).agg(F.avg(value).alias("mean")), keys)
+
+
+def added_latency(guarded: DataFrame, direct: DataFrame, keys: list[str]) -> DataFrame:
+    """The difference of two tables of latency stats, figure by figure, for the keys that both have; n is the lesser."""
+    g, d = guarded.alias("g"), direct.alias("d")
+    differ = [(F.col(f"g.{c}") - F.col(f"d.{c}")).alias(c) for c in (*LATENCY, "mean")]
+    return g.join(d, keys).select(*keys, F.least("g.n", "d.n").alias("n"), *differ)

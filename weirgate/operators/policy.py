@@ -130,6 +130,28 @@ def scan_settings(calls: DataFrame, policy: Policy, defaults: dict | None = None
     return out
 
 
+#: Fixed value: UTF-16 units of the longest tool name that combination rules follow.
+MAX_TRACKED_NAME = 4096
+
+
+def server_name_check(server: Column, policy: Policy, enforce: bool = True) -> Column:
+    """``error`` (``event`` where the policy isn't enforced) if the policy names servers but not this one, else ``ok``."""
+    if not policy.servers:
+        return F.lit("ok")
+    return F.when(F.coalesce(server.isin(list(policy.servers)), F.lit(False)), "ok").otherwise("error" if enforce else "event")
+
+
+def name_too_long(tool: Column, policy: Policy, enforce: bool = True, most: int = MAX_TRACKED_NAME) -> Column:
+    """What becomes of a call whose tool name is too long to follow: ``deny`` if an enforced combination denies, else ``flag``.
+
+    Null for other calls, and for all if there are no combinations.
+    """
+    if not policy.combinations:
+        return F.lit(None).cast("string")
+    denies = enforce and any(c.action == "deny" for c in policy.combinations)
+    return F.when(F.octet_length(F.encode(tool, "UTF-16BE")) > 2 * most, "deny" if denies else "flag")
+
+
 def _frame(key: str, at: str, window_ms: int):
     return Window.partitionBy(key).orderBy(at).rangeBetween(-window_ms, 0)
 

@@ -98,3 +98,10 @@ def headline(verdicts: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """The item of each call that explains its verdict: highest score, then worst action, then the first in ``order``."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc(rank(F.col("action"))), *order)
     return verdicts.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+
+
+def blocked_stub(action: Column, findings: Column, ruleset: str) -> Column:
+    """The result that takes a blocked one's place, as JSON: counts only, nothing of the content."""
+    text = F.format_string("[weirgate] content withheld · %d finding(s) · ruleset %s · action %s", findings.cast("long"), F.lit(ruleset), action)
+    block = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    return F.to_json(F.struct(F.lit(True).alias("isError"), F.array(block).alias("content")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.operators import audit, evaluate, judge, manifest, policy, sessions
+from weirgate.functions import text as T
+from weirgate.operators import audit, evaluate, judge, manifest, policy, score, sessions
 from weirgate.plans import detection
 from weirgate.sources import exports
 
@@ -295,8 +296,49 @@ TELEMETRY_RECORDS = f"""WITH {CALLS} SELECT call_id, sha256('{{"timeUnixNano":"'
   ('<13>1 ' || strftime(make_timestamp_ms(at_ms), '%Y-%m-%dT%H:%M:%S.') || lpad((at_ms % 1000)::VARCHAR, 3, '0') || 'Z - weirgate - - - ' || server_name || ' ' || tool_name)[1:80] AS line FROM calls"""
 
 
+def server_names(spark, sf_dir):
+    c = calls(spark, sf_dir).withColumn("tool_name", F.repeat("tool_name", F.col("call_id") % 1000))
+    return c.select("call_id", policy.server_name_check(F.col("server_name"), POLICY).alias("server"), policy.name_too_long(F.col("tool_name"), POLICY).alias("name"))
+
+
+SERVER_NAMES = f"""WITH {CALLS} SELECT call_id, CASE WHEN server_name IN ({", ".join(f"'{k}'" for k in POLICY.servers)}) THEN 'ok' ELSE 'error' END AS server,
+  CASE WHEN length(tool_name) * (call_id % 1000) > {policy.MAX_TRACKED_NAME} THEN 'deny' END AS name FROM calls"""
+
+
+def latency_added(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_type", (F.col("event_id") * 37 % 1009).alias("direct"), (F.col("event_id") * 41 % 2003).alias("guarded"))
+    stats = [evaluate.latency_stats(e, ["event_type"], c) for c in ("guarded", "direct")]
+    return evaluate.added_latency(*stats, ["event_type"]).withColumn("mean", F.round("mean", 6))
+
+
+_STATS_SQL = ", ".join(f"list_sort(list({{0}}))[least(count(*) - 1, floor({q} * count(*))::BIGINT) + 1] AS {k}" for k, q in evaluate.LATENCY.items())
+LATENCY_ADDED = f"""WITH e AS (SELECT event_type, event_id * 37 % 1009 AS direct, event_id * 41 % 2003 AS guarded FROM events),
+g AS (SELECT event_type, count(*) AS n, avg(guarded) AS mean, {_STATS_SQL.format("guarded")} FROM e GROUP BY 1), d AS (SELECT event_type, count(*) AS n, avg(direct) AS mean, {_STATS_SQL.format("direct")} FROM e GROUP BY 1)
+SELECT event_type, least(g.n, d.n) AS n, {", ".join(f"g.{k} - d.{k} AS {k}" for k in evaluate.LATENCY)}, round(g.mean - d.mean, 6) AS mean FROM g JOIN d USING (event_type)"""
+
+
+def blocked_stubs(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    return c.select("call_id", score.blocked_stub(F.when(F.col("call_id") % 2 == 0, "block").otherwise("flag"), F.col("call_id") % 7, "r1").alias("stub"))
+
+
+BLOCKED_STUBS = """SELECT event_id AS call_id, '{"isError":true,"content":[{"type":"text","text":"[weirgate] content withheld · ' || event_id % 7 || ' finding(s) · ruleset r1 · action ' || CASE WHEN event_id % 2 = 0 THEN 'block' ELSE 'flag' END || '"}]}' AS stub FROM events"""
+
+
+def display_quotes(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    shown = F.concat(F.lit("\x1b\x08\u202e\\\""), F.when(F.col("doc_id") % 3 == 0, F.lit("\U000e0041\u2028")).otherwise(F.lit("\x7f\u200b")), "text")
+    return d.select("doc_id", F.sha2(T.display_quoted(shown), 256).alias("quoted"))
+
+
+DISPLAY_QUOTES = r"""WITH t AS (SELECT doc_id, chr(27) || chr(8) || chr(8238) || chr(92) || '"' || CASE WHEN doc_id % 3 = 0 THEN chr(917569) || chr(8232) ELSE chr(127) || chr(8203) END || text AS s FROM documents),
+q AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(s, '\', '\\'), '"', '\"'), chr(8), '\b'), chr(9), '\t'), chr(10), '\n'), chr(12), '\f'), chr(13), '\r') AS s FROM t)
+SELECT doc_id, sha256('"' || list_reduce(list_prepend(s, list_distinct(regexp_extract_all(s, '[\p{Cc}\p{Cf}\x{2028}\x{2029}]'))), lambda a, ch: replace(a, ch, CASE WHEN unicode(ch) < 65536 THEN '\u' || format('{:04x}', unicode(ch))
+  ELSE '\u' || format('{:04x}', 55296 + ((unicode(ch) - 65536) >> 10)) || '\u' || format('{:04x}', 56320 + ((unicode(ch) - 65536) & 1023)) END)) || '"') AS quoted FROM q"""
+
+
 def queries() -> dict:
-    own = (access_first_match, scan_override, idle_gap_sessions, session_ladder, bearer_auth, manifest_hash, manifest_lock, manifest_diff, sticky_halts, audit_build, audit_heads, audit_tamper, audit_checkpoints, judge_band, score_distribution, metrics_sweep, family_breakdown, percentiles, span_matching, telemetry_records)
+    own = (access_first_match, scan_override, idle_gap_sessions, session_ladder, bearer_auth, manifest_hash, manifest_lock, manifest_diff, sticky_halts, audit_build, audit_heads, audit_tamper, audit_checkpoints, judge_band, score_distribution, metrics_sweep, family_breakdown, percentiles, span_matching, telemetry_records, server_names, latency_added, blocked_stubs, display_quotes)
     return {f.__name__: f for f in own} | {f"combination_{c.id.replace('-', '_')}": _combination(c) for c in POLICY.combinations}
 
 

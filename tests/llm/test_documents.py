@@ -357,6 +357,39 @@ def test_crowded_groups_match_all_pairs(spark):
     assert got == components(rows)
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_are_dealt_once_to_be_verified(spark):
+    hub = fixtures.prose(31, 400, 5000).split()
+    texts = [" ".join(w if j != 9 + 5 * (i % 40) else f"edit{i}" for j, w in enumerate(hub)) for i in range(80)]  # one class has very many pairs
+    texts += [fixtures.prose(600 + i // 4, 400, 5000) + f" tail{i}" for i in range(240)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table = store.materialize(table, "texts")
+    sets = {i: setjoin.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for i, t in enumerate(texts)}
+    pairs = [(0, i) for i in range(1, 80)] + [(i - i % 4, i) for i in range(80, 320) if i % 4] + [(1, 100), (90, 200)]
+    names = {i: setjoin.set_class(s) for i, s in sets.items()}
+    first = store.materialize(spark.createDataFrame([(names[i], i) for i in names], "class long, doc_id long"), "first")
+    given = store.materialize(spark.createDataFrame([(min(names[i], names[j]), max(names[i], names[j])) for i, j in pairs], "a long, b long"), "pairs")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {tuple(r) for r in setjoin._Documents(table, first, 75).links(given).collect()}
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    linked = lambda x, y: 4 * (both := len(np.intersect1d(x, y))) >= 3 * (len(x) + len(y) - both)
+    assert got == {(min(names[i], names[j]), max(names[i], names[j])) for i, j in pairs if linked(sets[i], sets[j])} and len(got) == len(pairs) - 2
+    # a short and a whole set (10 bytes a shingle) once for its class and about once for its pair
+    assert moved < 2.2 * 10 * sum(map(len, sets.values()))
+
+
 def test_empty_tables_of_filters(spark):
     empty = fixtures.empty(spark)
     bench = spark.createDataFrame([], "item_id long, text string")

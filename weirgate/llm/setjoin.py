@@ -51,6 +51,8 @@ CROWDED_SHINGLES = 1 << 21
 WIDE = 1 << 12
 #: Pairs held in a worker at once.
 PIECE = 1 << 17
+#: Bytes of stored sets for each task that pairs are verified in.
+SETS_BYTES = 4 << 20
 #: Bytes of a Bloom filter that tells which documents' sets are needed, and of its segments.
 BLOOM_BYTES, SEGMENT = 8 << 20, 1 << 13
 #: Stands for more crowded signatures than any set has, and for the sizes from here on.
@@ -361,6 +363,12 @@ def _bloom_slots(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([mix(h + U64(k)) % U64(bits) for k in range(4)])
 
 
+def _passes(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter passes."""
+    slots = _bloom_slots(ids, len(flags) * 8)
+    return ((flags[slots >> U64(3)] >> (U64(7) - (slots & U64(7))).astype(np.uint8)) & 1).all(axis=0).astype(bool)
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     merged: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -371,7 +379,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bloom(ids: DataFrame, nbytes: int) -> np.ndarray:
-    """A Bloom filter of at most ``nbytes`` of the long column ``id``; if too full, it only passes more. Segments are merged by key."""
+    """A Bloom filter of at most ``nbytes`` of the one long column of ``ids``; if too full, it only passes more. Segments are merged by key."""
     bits = int(min(nbytes * 8, max(1 << 16, 1 << (ids.count() * 12).bit_length())))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,8 +404,7 @@ def _passed(shared):
         flags = shared.value
         seen: set[int] = set()
         for batch in batches:
-            slots = _bloom_slots(np.asarray(batch.column("doc_id").fill_null(0)), len(flags) * 8)
-            passes = ((flags[slots >> U64(3)] >> (U64(7) - (slots & U64(7))).astype(np.uint8)) & 1).all(axis=0)
+            passes = _passes(flags, np.asarray(batch.column("doc_id").fill_null(0)))
             for _, s in _sets(batch.filter(pa.array(passes))):
                 if len(s) and (c := set_class(s)) not in seen:
                     seen.add(c)
@@ -433,6 +440,17 @@ def _needed(shared):
     return needed
 
 
+def _holders(shared):
+    """Rows (class, set) of the classes that the filter passes."""
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(_passes(shared.value, np.asarray(batch.column(0)))))
+            yield pa.RecordBatch.from_arrays(kept.columns, ["class", "set"])
+
+    return holders
+
+
 def _short_set(data: pa.Buffer | bytes) -> np.ndarray:
     wide = len(data) >= 4 * WIDE
     return np.frombuffer(data, np.uint32 if wide else np.uint16)
@@ -490,25 +508,37 @@ class _Documents:
         """The pairs (a, b) that link: first by short sets, which keep every link, then by whole ones."""
         degrees = materialize(_ends(pairs).groupBy("class").agg(F.count(F.lit(1)).alias("degree")), "degrees")
         sets = materialize(self.slim.mapInArrow(lean(_needed(self.filter_for(degrees))), "class long, short binary, shingles binary"), "sets")
-        wide = degrees.where("degree > 64").select("class", F.floor(F.col("degree") / 64).cast("int").alias("most"))
-        near = materialize(_meet(pairs, wide, sets.select("class", F.col("short").alias("set")), _similar(self.percent, most_shared)), "near")
-        whole = sets.select("class", F.col("shingles").alias("set")).join(_ends(near).distinct(), "class", "left_semi")
-        return _meet(near, wide, whole, _similar(self.percent, shared_shingles))
+        parts = parts_for(sets, SETS_BYTES)
+        near = materialize(_meet(pairs, degrees, sets.select("class", F.col("short").alias("set")), parts, _similar(self.percent, most_shared)), "near")
+        ids = _bloom(_ends(near).distinct(), BLOOM_BYTES)
+        whole = sets.select("class", "shingles").mapInArrow(lean(_holders(self.slim.sparkSession.sparkContext.broadcast(ids))), "class long, set binary")
+        return _meet(near, degrees, whole, parts, _similar(self.percent, shared_shingles))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
 
 
-def _meet(pairs: DataFrame, wide: DataFrame, sets: DataFrame, check) -> DataFrame:
-    """The pairs (a, b) that ``check`` passes on their sets. The set of a ``wide`` class (with very many pairs) is copied, so that no task gets all of them."""
-    copies = sets.dropDuplicates(["class"]).join(wide, "class", "left").select("class", "set", F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(0)))).alias("salt"))
-    a, b = (wide.select(F.col("class").alias(x), F.col("most").alias(f"m{x}")) for x in "ab")
-    dealt = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ma", F.lit(0)).alias("ma"), F.coalesce("mb", F.lit(0)).alias("mb"))
-    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.col("ma") + 1).cast("int").alias("salt"), F.pmod(F.xxhash64("a", F.lit(2)), F.col("mb") + 1).cast("int").alias("salt_b"))
-    with_a = dealt.join(copies.select(F.col("class").alias("a"), "salt", F.col("set").alias("sa")), ["a", "salt"])
-    with_b = with_a.join(copies.select(F.col("class").alias("b"), F.col("salt").alias("salt_b"), F.col("set").alias("sb")), ["b", "salt_b"])
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")
+def _meet(pairs: DataFrame, degrees: DataFrame, sets: DataFrame, parts: int, check) -> DataFrame:
+    """The pairs (a, b) that ``check`` passes on their sets.
+
+    Sets are dealt by class once, for both ends of the pairs. Of each pair the class with more pairs in ``degrees`` goes to
+    the other: few classes have as many pairs, so none gets very many sets. The set of a class with very many pairs is copied
+    before it goes, so that no task sends all of them.
+    """
+    a, b = (degrees.select(F.col("class").alias(x), F.col("degree").alias(f"d{x}")) for x in "ab")
+    more = F.expr("da > db or da = db and a > b")
+    dealt = pairs.join(a, "a").join(b, "b").select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("away"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("home"), F.floor(F.greatest("da", "db") / 64).cast("int").alias("most"))
+    dealt = materialize(dealt.withColumn("salt", F.pmod(F.xxhash64("home"), F.col("most") + 1).cast("int")), "dealt")
+    own = sets.repartition(parts, "class").dropDuplicates(["class"])
+    going = own.select(F.col("class").alias("away"), F.col("set").alias("sa"))
+    sent = dealt.where("most = 0").join(going, "away").select("away", "home", "sa")
+    wide = dealt.where("most > 0")
+    if not wide.isEmpty():
+        copies = going.join(wide.select("away", "most").distinct(), "away").select("away", "sa", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("salt"))
+        sent = sent.unionByName(wide.join(copies, ["away", "salt"]).select("away", "home", "sa"))
+    both = sent.join(own.select(F.col("class").alias("home"), F.col("set").alias("sb")), "home")
+    return both.select(F.least("away", "home").alias("a"), F.greatest("away", "home").alias("b"), "sa", "sb").mapInArrow(lean(check), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, bucket: int = BUCKET, rows_bytes: int = 4 << 20) -> DataFrame:
